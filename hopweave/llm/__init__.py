@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe
+    from . import bpe, quality, secrets, toxicity
 
     return {
+        "op2_quality": quality.op2_quality,
+        "op4_secrets": secrets.op4_secrets,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
