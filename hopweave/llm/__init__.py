@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, quality, secrets, toxicity
+    from . import bpe, quality, rules, secrets, toxicity
 
     return {
         "op2_quality": quality.op2_quality,
         "op4_secrets": secrets.op4_secrets,
+        "op5_quality_rules": rules.op5_quality_rules,
         "op7_toxicity": toxicity.op7_toxicity,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import rules
+
+    return {
+        "op5_quality_rules": rules.ORACLE,
+    }
