@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, quality, rules, secrets, toxicity
+    from . import bpe, lines, quality, rules, secrets, toxicity
 
     return {
         "op2_quality": quality.op2_quality,
         "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": rules.op5_quality_rules,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import rules
+    from . import lines, rules
 
     return {
         "op5_quality_rules": rules.ORACLE,
+        "op6_line_dedup": lines.ORACLE,
     }
