@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, lines, quality, rules, secrets, toxicity
+    from . import bpe, lines, quality, rules, secrets, toxicity, urls
 
     return {
+        "op1_url_filter": urls.op1_url_filter,
         "op2_quality": quality.op2_quality,
         "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": rules.op5_quality_rules,
