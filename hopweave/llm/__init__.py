@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, lines, quality, rules, secrets, toxicity, urls
+    from . import bpe, lines, quality, quotes, rules, secrets, toxicity, urls
 
     return {
         "op1_url_filter": urls.op1_url_filter,
         "op2_quality": quality.op2_quality,
+        "op3_quotation_links": quotes.op3_quotation_links,
         "op4_secrets": secrets.op4_secrets,
         "op5_quality_rules": rules.op5_quality_rules,
         "op6_line_dedup": lines.op6_line_dedup,
@@ -22,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lines, rules
+    from . import lines, quotes, rules
 
     return {
+        "op3_quotation_links": quotes.ORACLE,
         "op5_quality_rules": rules.ORACLE,
         "op6_line_dedup": lines.ORACLE,
     }
