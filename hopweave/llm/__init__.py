@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, decontaminate, lines, quality, quotes, rules, secrets, toxicity, urls
+    from . import bpe, decontaminate, jaccard, lines, quality, quotes, rules, secrets, toxicity, urls
 
     return {
         "op1_url_filter": urls.op1_url_filter,
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": rules.op5_quality_rules,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_jaccard_join": jaccard.op8_jaccard_join,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
