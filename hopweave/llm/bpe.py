@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import map_text
 
@@ -177,7 +178,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text:
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """The text of each row's ``ids``, by a lookup in the vocabulary; other columns stay."""
     shipped = df.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_ranks(ranks_path).items()})
-    schema = df.schema.add(out, "string") if out not in df.columns else df.schema
+    schema = StructType([f for f in df.schema.fields if f.name != out] + [StructField(out, StringType())])
 
     def run(batches):
         token = shipped.value

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. A batch of the longest texts then still fits a Python worker.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 #: Rows of a two-column key table up to which it is broadcast (about 32 MB); beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -51,6 +51,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def shielded(df: DataFrame, needed: list[str]) -> tuple[DataFrame, Callable[[], list[Column]]]:
+    """``df`` with all columns but ``needed`` under names that no operator uses, and the columns that undo it."""
+    names = {c: c if c in needed else f"__other{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), lambda: [F.col(n).alias(c) for c, n in names.items()]
+
+
 def map_text(df: DataFrame, keep: list[str], text: str, fields: list[pa.Field], make: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
     """Apply a per-text function in Arrow batches: the columns ``keep`` and one column per field.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, staged, table
+from .common import shielded, small, staged, table
 
 GROWTH = 1.05
 LEAST_DOCS = 50
@@ -126,9 +126,13 @@ def judged(values: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The texts that pass, with their measures."""
-    keep = [c for c in docs.columns if c != "text"]
-    return judged(staged(with_values(measures(docs, keep)), "rule-values")).filter("kept")
+    """The rows that pass, all columns of ``docs`` as they are; a table without language or source counts as one."""
+    plain, back = shielded(docs, ["text", "lang", "source"])
+    plain = plain.withColumns({c: F.lit(None).cast("string") for c in ("lang", "source") if c not in plain.columns})
+    keep = [c for c in plain.columns if c != "text"]
+    # the texts are measured once and kept aside with the measures, so that they need not be joined again
+    values = staged(with_values(measures(plain.withColumn("__text", F.col("text")), [*keep, "__text"])), "rule-values")
+    return judged(values).filter("kept").withColumnRenamed("__text", "text").select(*back())
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

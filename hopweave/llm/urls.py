@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged, table
+from .common import shielded, small, staged, table
 
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -201,8 +201,10 @@ def root_open(root: Node, n: int) -> Column:
 
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample_rows: int = SAMPLE_ROWS, url: str = "url") -> DataFrame:
-    """All columns of ``pages`` with host, path, rule, ``score`` (the trees' chance of block) and verdict."""
-    urls = with_rule(with_host_path(pages, url), rules)
+    """All columns of ``pages`` with host, path, rule, ``score`` (the trees' chance of block) and verdict; columns of
+    these names are replaced, others of any name stay."""
+    plain, back = shielded(pages.drop("host", "path", "rule", "score", "verdict"), [url])
+    urls = with_rule(with_host_path(plain, url), rules)
     wide = with_features(urls, url)
     labelled = wide.filter(F.col("rule").isNotNull()).withColumn("y", (F.col("rule_verdict") == "block").cast("int"))
     for suffix in ("tld", "extension"):
@@ -213,9 +215,8 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample_
         labelled = labelled.join(small(stats, 100_000), suffix, "left")
     sample = labelled.select(*FEATURES, "y", F.col(url).alias("__url")).orderBy(F.xxhash64("__url"), "__url").limit(sample_rows)
     model = fit(sample.select(*FEATURES, "y"))
-    judged = wide.withColumn("score", model.probability())
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return judged.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")], "host", "path", "rule", "score", verdict.alias("verdict"))
+    return wide.withColumn("score", model.probability()).select(*back(), "host", "path", "rule", "score", verdict.alias("verdict"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
