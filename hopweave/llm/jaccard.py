@@ -7,21 +7,22 @@ node. The metric-space join then runs from coarse regions to fine ones:
 1. *Regions.* In a Voronoi split around sampled pivots, unrelated texts are at distance 1 from every pivot, and
    no triangle window separates them. The first split therefore takes pivots that lie near by construction: the
    hash range is cut into more parts than two linked texts may have differing shingles, so linked texts agree on
-   a whole part (pigeonhole); texts that agree on one form a region. A text is replicated to one region for each
-   part, once for its own class of sizes and once for the next, where its larger partners are.
+   a whole part (pigeonhole); texts that agree on one form a region. A text is replicated to as many regions as it
+   may have differences, plus one, and again in the next class of sizes if a larger partner may be there.
 2. *Pivots.* In each region the text that shares most regions with others is the pivot. Every member's exact
    distance to it is computed; members within eps link. A region whose members then all lie in one component, or
    that has no two members beside its pivot, is done.
-3. *Windows and recursion.* What is left falls into families (regions that share members). A family larger than
-   ``REGION_TEXTS`` is split again by the distances to two new pivots, the most central member and the one
-   farthest from it: cells are rings of width eps, and by the triangle inequality linked texts lie in the same or
-   neighbouring rings of both pivots, so each text is replicated to its neighbouring cells only. Cells above the
-   bound are dealt out in chunks, and each pair of chunks is one region.
-4. *Exact join.* A region of at most twice ``REGION_TEXTS`` texts is joined in one task by counting common shingles;
-   pairs already in one component are not looked at, and only links that join components are returned.
-
-No pair list of a group is ever made: the rows of steps 1 to 3 are memberships. Every link between different
-texts is found or implied by a path of links, so the components are exact (up to collisions of 64-bit hashes).
+3. *Windows.* A region of more than ``REGION_TEXTS`` texts is split into rings of width eps around its pivot. By the
+   triangle inequality linked texts lie in the same or in neighbouring rings, so each text is replicated to these
+   only; a ring above the bound is dealt out in chunks, and each two chunks meet in one task.
+4. *Exact join.* Members of different components are compared by parity sketches: bit j tells whether an odd number
+   of the set's hashes falls on j. Two sets' sketches differ in no more bits than the sets in shingles, which rules
+   out nearly every pair that is no link; pairs that are left are measured exactly. For each two components the
+   closest pairs go first; the others follow only where those did not join the two (recursion on what is open).
+
+No pair list of a group is ever made: the rows of steps 1 to 3 are memberships, and step 4 returns only pairs at the
+threshold that could join two components. Every link between different texts is found or implied by a path of
+links, so the components are exact (up to collisions of 64-bit hashes).
 
 Null and empty texts, and texts without words, have an empty set, link with nothing and are components of their
 own. A text of fewer than k words is one shingle. Texts are taken whole. Repeated rows fall together. Rows with a
@@ -39,15 +40,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import bounded_batches, map_text, small, staged, table
 from .graphs import components
 
 #: Texts of a region up to which it is joined in one task (with its partner chunk: twice as many).
-REGION_TEXTS = 256
+REGION_TEXTS = 512
+#: Of each two components in a region, so many pairs are measured first.
+FIRST_PAIRS = 4
 #: Words whose hash a task keeps; the store is emptied when full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -84,47 +87,48 @@ class Shingles:
 
 
 class Parts:
-    """Signatures of a set: what it holds of each part of the hash range, for its class of sizes and the next."""
+    """Signatures of a set: what it holds of parts of the hash range, for its class of sizes and perhaps the next.
+
+    The two sets of a link differ in at most ``differ(n)`` shingles, n being either's size, so in no more parts. A set
+    takes the parts of its class in order until it has one filled part more than that. Of two linked sets, the one
+    that stops first has then taken a part that both hold alike, and the other has taken it too. A set with too few
+    filled parts takes all parts, empty ones as well (two such sets agree on some part of all).
+    """
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.tops = [1]
 
-    def _class(self, n: int) -> int:
-        tops = self.tops
-        while tops[-1] < n or len(tops) < 2:
-            tops.append(max(tops[-1] + 1, tops[-1] * self.den // self.num))
-        return int(np.searchsorted(tops, n))
+    def differ(self, n: int) -> int:
+        return (self.den - self.num) * n // self.num
 
-    def _shape(self, c: int) -> tuple[int, int]:
-        """The number of parts of class c, and how many empty parts a set may have before they count too."""
+    def _top(self, c: int) -> int:
         while len(self.tops) <= c:
-            self._class(self.tops[-1] + 1)
-        top, t = self.tops[c], self.num / self.den
-        differ = (self.den - self.num) * 2 * top // (self.den + self.num)
-        if not differ:
-            return 0, 0  # sets of this class link only if equal
-        about = (differ + 1) * math.exp(-top * t * t / (differ + 1))
-        spare = math.ceil(about + 2 * math.sqrt(about))
-        return differ + 1 + spare, spare
+            t = self.tops[-1]
+            self.tops.append(max(t + 1, t * 3 // 2, t * self.den // self.num))
+        return self.tops[c]
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        if not len(s):
-            return np.empty(0, np.int64)
+        n, need = len(s), self.differ(len(s)) + 1
+        if need < 2:
+            return np.empty(0, np.int64)  # links with equal sets only
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s), dtype=np.uint64)])
-        own, out = self._class(len(s)), []
-        for c in (own, own + 1):
-            m, spare = self._shape(c)
-            if not m:
-                continue
-            step = (1 << 64) // m
-            edges = np.searchsorted(s, np.arange(1, m, dtype=np.uint64) * np.uint64(step))
-            first, last = np.concatenate([[0], edges]), np.concatenate([edges, [len(s)]])
-            sig = _mix((total[last] - total[first]) ^ _mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32)))
-            filled = last > first
-            # linked sets agree on more parts than either has empty ones, unless one has more than the spare
-            out.append(sig if m - int(filled.sum()) > spare else sig[filled])
-        return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+        own, out = 0, []
+        while self._top(own) < n:
+            own += 1
+        # larger partners may be of the next class
+        for c in (own, own + 1) if n * self.den // self.num > self._top(own) else (own,):
+            top = self._top(c)
+            least = self.differ(top) + 1
+            empty = least * math.exp(-top / least)
+            m = least + math.ceil(1.2 * empty + 2 * math.sqrt(empty))
+            edges = np.searchsorted(s, np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
+            first, last = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
+            taken = np.flatnonzero(last > first)[:need]
+            if len(taken) < need:
+                taken = np.arange(m)
+            out.append(_mix((total[last[taken]] - total[first[taken]]) ^ _mix(taken.astype(np.uint64) + np.uint64(c << 32))))
+        return np.concatenate(out).view(np.int64)
 
 
 def _node(s: np.ndarray) -> int:
@@ -132,20 +136,48 @@ def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, key, node, n, parts) of every row of ``docs``; ``key`` is a hash of the text."""
+def _key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def described(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, key, node, n) of every row of ``docs``; ``key`` is a hash of the text, ``node`` the set's name."""
+
+    def make():
+        shingles = Shingles(k)
+
+        def one(text: str | None) -> tuple:
+            s = shingles(text)
+            return _node(s), len(s)
+
+        return one
+
+    return map_text(docs.select("doc_id", _key().alias("key"), "text"), ["doc_id", "key"], "text", [pa.field("node", pa.int64()), pa.field("n", pa.int64())], make)
+
+
+def node_parts(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, parts) of one row of each node. The texts are read again, which costs less than keeping the parts."""
+    first = nodes.select("node", F.col("first.doc_id").alias("f_id"), F.col("first.key").alias("f_key"))
+    counted = staged(rows.filter("n > 0").groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("times")).join(first, "node"), "texts")
+    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))
+    other = staged(counted.filter(~is_first | (F.col("times") > 1)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), is_first.alias("__first")), "other-texts")
+    keyed = docs.select(F.col("doc_id").alias("d"), _key().alias("key"), F.col("text").cast("string").alias("text"))
+    same = (F.col("key") == F.col("__key")) & F.col("d").eqNullSafe(F.col("__id"))
+    texts = keyed.join(small(other.drop("__first")), same, "left_anti")
+    again = other.filter("__first").drop("__first")
+    if not again.isEmpty():
+        texts = texts.unionByName(keyed.join(small(again), same, "left_semi").dropDuplicates(["d", "key"]))
 
     def make():
         shingles, parts = Shingles(k), Parts(num, den)
 
         def one(text: str | None) -> tuple:
             s = shingles(text)
-            return _node(s), len(s), parts(s)
+            return _node(s), parts(s)
 
         return one
 
-    fields = [pa.field("node", pa.int64()), pa.field("n", pa.int64()), pa.field("parts", pa.list_(pa.int64()))]
-    return map_text(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text"), ["doc_id", "key"], "text", fields, make)
+    return map_text(texts, [], "text", [pa.field("node", pa.int64()), pa.field("parts", pa.list_(pa.int64()))], make)
 
 
 def region_members(nodes: DataFrame) -> DataFrame:
@@ -156,109 +188,126 @@ def region_members(nodes: DataFrame) -> DataFrame:
     return shared.select(F.xxhash64("members", "size").alias("region"), "node", "size").dropDuplicates(["region", "node"])
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, shingles) of the wanted ``nodes`` (node, doc_id, key): one text of each is hashed again."""
+def parity_sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Bit j: whether an odd number of hashes is j modulo the size, a power of two about 16 times the differences
+    that a link allows. Folding the upper half onto the lower gives the sketch of half the size."""
+    bits = 1 << max(6, (16 * (2 * (den - num) * len(s) // (den + num) + 1) - 1).bit_length())
+    at = (_mix(s) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, n, shingles, sketch) of the wanted ``nodes`` (node, doc_id, key): one text of each is hashed again."""
     bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.col("text").cast("string").alias("text"))
+    keyed = docs.select(F.col("doc_id").alias("d"), _key().alias("key"), F.col("text").cast("string").alias("text"))
     wanted = nodes.select("doc_id", "key")
     texts = keyed.join(small(wanted), (keyed["key"] == wanted["key"]) & keyed["d"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
-    schema = StructType([StructField("node", LongType()), StructField("n", LongType()), StructField("shingles", ArrayType(LongType()))])
+    schema = StructType([StructField("node", LongType()), StructField("n", LongType()), StructField("shingles", ArrayType(LongType())), StructField("sketch", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([parity_sketch(s, num, den).tobytes() for s in found], pa.binary())], names=schema.names)
 
-    return texts.mapInArrow(run, schema).groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    return texts.mapInArrow(run, schema).groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``common`` and ``every``: the sizes of intersection and union."""
+    """``pairs`` (a, b, ..., staged) with ``common`` and ``every``: the sizes of intersection and union."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("__na"), F.col("shingles").alias("__sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("__nb"), F.col("shingles").alias("__sb"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = small(pairs).join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("__sa", "__sb")).cast("long")
     out = joined.select(*pairs.columns, common.alias("common"), "__na", "__nb")
     return out.select(*pairs.columns, "common", (F.col("__na") + F.col("__nb") - F.col("common")).alias("every"))
 
 
-def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """The number of common elements of each two sets."""
-    n = len(sets)
-    values = np.concatenate(sets) if n else np.empty(0, np.int64)
-    rows = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, where, counts = np.unique(values, return_inverse=True, return_counts=True)
-    shared = counts > 1
-    number = np.cumsum(shared) - 1
-    used = shared[where]
-    rows, where = rows[used], number[where[used]]
-    out = np.zeros((n, n), np.float64)
-    order = np.argsort(where, kind="stable")
-    rows, where = rows[order], where[order]
-    for at in range(0, int(shared.sum()), columns):
-        a, b = np.searchsorted(where, [at, at + columns])
-        block = np.zeros((n, columns), np.float32)
-        block[rows[a:b], where[a:b] - at] = 1.0
-        out += block @ block.T
-    return out.astype(np.int64)
-
-
-def joining_links(labels: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between texts of different components, as few as join what they join."""
-    common = common_counts(sets)
-    sizes = np.array([len(s) for s in sets])
-    union = sizes[:, None] + sizes[None, :] - common
-    label = np.array(labels)
-    a, b = np.nonzero((den * common >= num * union) & (label[:, None] < label[None, :]))
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
-        return x
-
-    out = []
-    for x, y in sorted(set(zip(label[a].tolist(), label[b].tolist(), strict=True))):
-        p, q = find(x), find(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((x, y))
+def _folded(sketches: list[bytes], words: int) -> np.ndarray:
+    out = np.zeros((len(sketches), words), np.uint64)
+    for i, raw in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), axis=0)
     return out
 
 
+def possible_links(node: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: list[bytes], side: np.ndarray, num: int, den: int, first: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of different components that the sketches don't rule out: of each two components the ``first`` closest
+    (0: all), and whether there are more. ``side``: 1 and 2 are compared with each other only, 0 with all."""
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    order = np.argsort(n, kind="stable")
+    node, label, n, side = node[order], label[order], n[order], side[order]
+    sketch = [sketch[i] for i in order]
+    for i in range(len(node)):
+        # sizes: partners are no larger than n * den / num
+        end = int(np.searchsorted(n, int(n[i]) * den // num, side="right"))
+        if end <= i + 1:
+            continue
+        others = np.flatnonzero((label[i + 1 : end] != label[i]) & ((side[i + 1 : end] != side[i]) | (side[i] == 0))) + i + 1
+        if not len(others):
+            continue
+        words = len(sketch[i]) // 8  # the smaller set has the smaller sketch
+        apart = np.bitwise_count(_folded([sketch[j] for j in others], words) ^ np.frombuffer(sketch[i], np.uint64)).sum(1)
+        # a link of sizes a and b differs in at most (den - num) (a + b) / (den + num) shingles
+        close = np.flatnonzero(apart * (den + num) <= (den - num) * (n[others] + n[i]))
+        for c in close:
+            j = int(others[c])
+            key = (min(int(label[i]), int(label[j])), max(int(label[i]), int(label[j])))
+            found.setdefault(key, []).append((int(apart[c]), int(node[i]), int(node[j])))
+    out, more = [], False
+    for pairs in found.values():
+        pairs.sort()
+        more = more or bool(first) and len(pairs) > first
+        out += [(min(a, b), max(a, b)) for _, a, b in (pairs[:first] if first else pairs)]
+    return out, more
+
+
 def _ring(num: int, den: int) -> Column:
     """How many times eps fits into the distance (whole numbers throughout)."""
     return F.floor((F.col("every") - F.col("common")) * den / (F.col("every") * (den - num))).cast("int")
 
 
-def family_regions(family: DataFrame, sets: DataFrame, num: int, den: int, region_texts: int = REGION_TEXTS) -> DataFrame:
-    """(region, node, label) from ``family`` (family, node, label, weight): every two linked texts meet in a region."""
-    sizes = staged(family.groupBy("family").agg(F.count(F.lit(1)).alias("texts"), F.max_by("node", F.struct("weight", "node")).alias("centre")), "family-sizes")
-    large = sizes.filter(F.col("texts") > region_texts)
-    known = family.join(sizes.select("family", "texts"), "family")
-    alone = known.filter(F.col("texts") <= region_texts).select(F.struct("family", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("i")).alias("cell"), "node", "label")
-    if large.isEmpty():
-        cells = staged(alone, "cells")
-    else:
-        near = measured(family.join(small(large.select("family", "centre")), "family").select(F.col("centre").alias("a"), F.col("node").alias("b"), "family", "label"), sets)
-        near = staged(near.withColumn("x", _ring(num, den)), "rings")
-        rim = staged(near.groupBy("family").agg(F.max_by("b", F.struct((F.col("every") - F.col("common")) / F.col("every"), "b")).alias("a")), "rims")
-        far = measured(near.select("family", "b", "label", "x").join(small(rim), "family"), sets).withColumn("y", _ring(num, den))
-        far = staged(far.select("family", F.col("b").alias("node"), "label", "x", "y"), "rings")
-        chunks = staged(far.groupBy("family", "x", "y").agg(F.ceil(F.count(F.lit(1)) / region_texts).alias("chunks")), "cell-sizes")
-        dealt = far.join(small(chunks), ["family", "x", "y"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        cells = staged(alone.unionByName(dealt.select(F.struct("family", "x", "y", "i").alias("cell"), "node", "label")), "cells")
-    # which cells meet which: a table of cells, not of texts
-    listed = staged(cells.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")), "cell-list")
-    one = listed.select(F.col("cell.family").alias("family"), F.col("cell").alias("one"), F.col("low").alias("l1"), F.col("high").alias("h1"))
-    two = listed.select(F.col("cell.family").alias("family"), F.col("cell").alias("two"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    close = (F.abs(F.col("one.x") - F.col("two.x")) <= 1) & (F.abs(F.col("one.y") - F.col("two.y")) <= 1) & (F.col("one") <= F.col("two"))
-    settled = (F.col("l1") == F.col("h1")) & (F.col("l2") == F.col("h2")) & (F.col("l1") == F.col("l2"))
-    met = staged(one.join(two, "family").filter(close & ~settled).select(F.xxhash64("one", "two").alias("region"), "one", "two"), "cell-pairs")
-    part = met.select("region", F.explode(F.array_distinct(F.array("one", "two"))).alias("cell"))
-    return cells.join(part, "cell").select("region", "node", "label")
+def region_tasks(open_: DataFrame, region_texts: int) -> DataFrame:
+    """(task, side, node, label) from the open regions' (region, ring, node, label): every two linked texts meet."""
+    rings = staged(open_.groupBy("region", "ring").agg(F.count(F.lit(1)).alias("texts")), "rings")
+    sizes = rings.groupBy("region").agg(F.sum("texts").alias("whole"))
+    cells = staged(rings.join(sizes, "region").select("region", "ring", (F.col("whole") <= region_texts).alias("one"), F.ceil(F.col("texts") / region_texts).cast("int").alias("chunks")), "ring-sizes")
+    known = open_.join(small(cells), ["region", "ring"])
+    whole = known.filter("one").select(F.xxhash64("region").alias("task"), F.lit(0).alias("side"), "node", "label")
+    if cells.filter("not one").isEmpty():
+        return whole
+    dealt = known.filter("not one").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # which cells meet which: a table of cells
+    listed = cells.filter("not one").select("region", "ring", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    a = listed.select("region", F.struct("ring", "chunk").alias("x"))
+    b = listed.select("region", F.struct("ring", "chunk").alias("y"))
+    met = staged(a.join(b, "region").filter((F.col("x") <= F.col("y")) & (F.col("y.ring") - F.col("x.ring") <= 1)).select("region", "x", "y", F.xxhash64("region", "x", "y").alias("task")), "ring-pairs")
+    same = F.col("x") == F.col("y")
+    part = met.select("region", "task", F.explode(F.when(same, F.array(F.struct(F.col("x").alias("cell"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("cell"), F.lit(1).alias("side")), F.struct(F.col("y").alias("cell"), F.lit(2).alias("side"))))).alias("p"))
+    part = part.select("region", "task", F.col("p.cell.ring").alias("ring"), F.col("p.cell.chunk").alias("chunk"), F.col("p.side").alias("side"))
+    return whole.unionByName(dealt.join(part, ["region", "ring", "chunk"]).select("task", "side", "node", "label"))
+
+
+def candidate_pairs(tasks: DataFrame, sets: DataFrame, num: int, den: int, first: int) -> DataFrame:
+    """(a, b) for :func:`possible_links` of every task; a row (0, 0) says that a task has more."""
+    placed = small(tasks).join(sets.select("node", "n", "sketch"), "node")
+
+    def join(t: pa.Table) -> pa.Table:
+        column = lambda c: t.column(c).to_numpy()
+        found, more = possible_links(column("node"), column("label"), column("n"), t.column("sketch").to_pylist(), column("side"), num, den, first)
+        found += [(0, 0)] * more
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return placed.groupBy("task").applyInArrow(join, "a long, b long").distinct()
+
+
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more ``links`` (a, b) between nodes; nodes without a label are their own."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = staged(label.unionByName(ends.join(label, "node", "left_anti").withColumn("label", F.col("node"))), "labels")
+    of = lambda c: every.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    joined = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    return staged(every.join(joined.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "labels")
 
 
 def clusters(docs: DataFrame, k: int, num: int, den: int, region_texts: int = REGION_TEXTS) -> DataFrame:
@@ -266,36 +315,35 @@ def clusters(docs: DataFrame, k: int, num: int, den: int, region_texts: int = RE
 
     A row is its component's keeper if its own ``doc_id`` and ``key`` are those.
     """
-    rows = staged(described(docs, k, num, den), "described")
+    rows = staged(described(docs, k), "described")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
     filled = rows.filter("n > 0")
-    nodes = staged(filled.groupBy("node").agg(first.alias("first"), F.first("parts").alias("parts")), "nodes")
-    members = staged(region_members(nodes), "members")
+    nodes = staged(filled.groupBy("node").agg(first.alias("first")), "nodes")
+    members = staged(region_members(node_parts(docs, rows, nodes, k, num, den)), "members")
     mine = Window.partitionBy("node")
     weighed = members.withColumn("weight", F.sum("size").over(mine))
     weighed = staged(weighed.withColumn("pivot", F.max(F.struct("weight", "node")).over(Window.partitionBy("region"))["node"]), "weighed")
     wanted = weighed.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first.doc_id", "first.key")
-    sets = staged(sets_of(docs, staged(wanted, "wanted"), k), "sets")
+    sets = staged(sets_of(docs, staged(wanted, "wanted"), k, num, den), "sets")
     star = weighed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    near = staged(measured(staged(star, "star"), sets).filter(F.col("common") * den >= F.col("every") * num).select("a", "b"), "star-links")
-    label = components(near)
+    star = staged(measured(staged(star, "star"), sets), "star-measured")
+    links = F.col("common") * den >= F.col("every") * num
+    label = components(star.filter(links).select("a", "b"))
 
-    named = weighed.filter("node <> pivot").join(label, "node", "left").select("region", "node", "weight", F.coalesce("label", "node").alias("label"))
+    away = star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), _ring(num, den).alias("ring"))
+    members = staged(weighed.filter("node <> pivot").join(away, ["pivot", "node"]).select("region", "ring", "node"), "placed")
     w = Window.partitionBy("region")
-    open_ = named.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w), "head": F.min("node").over(w)}).filter("low <> high")
-    open_ = staged(open_.select("head", "node", "label", "weight"), "open")
-    if not open_.isEmpty():
-        joint = components(open_.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-        family = staged(open_.select("node", "label", "weight").distinct().join(joint.withColumnRenamed("label", "family"), "node"), "families")
-        placed = family_regions(family, sets, num, den, region_texts).join(sets.select("node", "shingles"), "node")
-
-        def join(t: pa.Table) -> pa.Table:
-            found = joining_links(t.column("label").to_pylist(), [np.asarray(x.values) for x in t.column("shingles")], num, den)
-            return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-        more = staged(placed.select("region", "label", "shingles").groupBy("region").applyInArrow(join, "a long, b long"), "region-links")
+    # the closest pairs of each two components first; then, where any were held back, all that is still open
+    for first in (FIRST_PAIRS, 0):
+        named = members.join(label, "node", "left").select("region", "ring", "node", F.coalesce("label", "node").alias("label"))
+        members = staged(named.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w)}).filter("low <> high").drop("low", "high"), "open")
+        pairs = staged(candidate_pairs(staged(region_tasks(members, region_texts), "tasks"), sets, num, den, first), "candidates")
+        more = staged(measured(staged(pairs.filter("a <> b"), "pairs"), sets).filter(links).select("a", "b"), "more-links")
         if not more.isEmpty():
-            label = components(near.unionByName(more))
+            label = relabelled(label, more)
+        if pairs.filter("a = b").isEmpty():
+            break
+        members = members.select("region", "ring", "node")
 
     linked = staged(nodes.select("node", "first").join(label, "node"), "linked")
     best = linked.groupBy("label").agg(F.min("first").alias("best"))
@@ -311,7 +359,7 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int
     found = staged(clusters(docs, k, num, den), "clusters")
     other = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keeper_id")) & (F.col("key") == F.col("keeper_key"))))
     gone = staged(other.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), "copies")
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    key = _key()
     kept = docs.join(small(gone), (key == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     # rows that repeat both id and text: one stays
     again = staged(found.filter("n > 0").groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "repeated")
