@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 #: Rows of a plan or vocabulary table up to which it is broadcast (some tens of MB at most); beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Temporary folders of applications that set none.
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="hopweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "")
+        if not base:
+            base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="hopweave-")
     return base.rstrip("/")
 
 
