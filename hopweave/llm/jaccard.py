@@ -155,18 +155,28 @@ def described(docs: DataFrame, k: int) -> DataFrame:
     return map_text(docs.select("doc_id", _key().alias("key"), "text"), ["doc_id", "key"], "text", [pa.field("node", pa.int64()), pa.field("n", pa.int64())], make)
 
 
-def node_parts(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, parts) of one row of each node. The texts are read again, which costs less than keeping the parts."""
+def _same(d: str = "d") -> Column:
+    return (F.col("key") == F.col("__key")) & F.col(d).eqNullSafe(F.col("__id"))
+
+
+def repeats(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (__id, __key) that are not their node's first, or are there more than once; and of these the firsts."""
     first = nodes.select("node", F.col("first.doc_id").alias("f_id"), F.col("first.key").alias("f_key"))
     counted = staged(rows.filter("n > 0").groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("times")).join(first, "node"), "texts")
     is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))
     other = staged(counted.filter(~is_first | (F.col("times") > 1)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), is_first.alias("__first")), "other-texts")
-    keyed = docs.select(F.col("doc_id").alias("d"), _key().alias("key"), F.col("text").cast("string").alias("text"))
-    same = (F.col("key") == F.col("__key")) & F.col("d").eqNullSafe(F.col("__id"))
-    texts = keyed.join(small(other.drop("__first")), same, "left_anti")
-    again = other.filter("__first").drop("__first")
+    return other.drop("__first"), staged(other.filter("__first").drop("__first"), "repeated-texts")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("d"), _key().alias("key"), F.col("text").cast("string").alias("text"))
+
+
+def node_parts(docs: DataFrame, other: DataFrame, again: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, parts) of one row of each node. The texts are read again, which costs less than keeping the parts."""
+    texts = _keyed(docs).join(small(other), _same(), "left_anti")
     if not again.isEmpty():
-        texts = texts.unionByName(keyed.join(small(again), same, "left_semi").dropDuplicates(["d", "key"]))
+        texts = texts.unionByName(_keyed(docs).join(small(again), _same(), "left_semi").dropDuplicates(["d", "key"]))
 
     def make():
         shingles, parts = Shingles(k), Parts(num, den)
@@ -197,12 +207,13 @@ def parity_sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, n, shingles, sketch) of the wanted ``nodes`` (node, doc_id, key): one text of each is hashed again."""
+def sets_of(docs: DataFrame, nodes: DataFrame, again: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, n, shingles, sketch) of the wanted ``nodes`` (__id, __key): one text of each is hashed again."""
     bounded_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").alias("d"), _key().alias("key"), F.col("text").cast("string").alias("text"))
-    wanted = nodes.select("doc_id", "key")
-    texts = keyed.join(small(wanted), (keyed["key"] == wanted["key"]) & keyed["d"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text")
+    texts = _keyed(docs).join(small(nodes), _same(), "left_semi")
+    if not again.isEmpty():
+        texts = texts.join(small(again), _same(), "left_anti").unionByName(texts.join(small(again), _same(), "left_semi").dropDuplicates(["d", "key"]))
+    texts = texts.select("text")
     schema = StructType([StructField("node", LongType()), StructField("n", LongType()), StructField("shingles", ArrayType(LongType())), StructField("sketch", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,17 +222,40 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> Da
             found = [shingles(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([parity_sketch(s, num, den).tobytes() for s in found], pa.binary())], names=schema.names)
 
-    return texts.mapInArrow(run, schema).groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    return texts.mapInArrow(run, schema)
+
+
+def _paired(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` (a, b; staged) with ``columns`` of both sets. The rows move once, to the sets of the a, which are
+    pivots in the first place and fewer."""
+    of = lambda c: sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+    firsts = staged(pairs.select("a").distinct(), "firsts")
+    return small(pairs).join(of("b"), "b").join(of("a").join(small(firsts), "a", "left_semi"), "a")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ..., staged) with ``common`` and ``every``: the sizes of intersection and union."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("__na"), F.col("shingles").alias("__sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("__nb"), F.col("shingles").alias("__sb"))
-    joined = small(pairs).join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("__sa", "__sb")).cast("long")
-    out = joined.select(*pairs.columns, common.alias("common"), "__na", "__nb")
-    return out.select(*pairs.columns, "common", (F.col("__na") + F.col("__nb") - F.col("common")).alias("every"))
+    """``pairs`` (a, b; staged) with ``common`` and ``every``: the sizes of intersection and union."""
+    common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
+    out = _paired(pairs, sets, "n", "shingles").select("a", "b", common.alias("common"), "n_a", "n_b")
+    return out.select("a", "b", "common", (F.col("n_a") + F.col("n_b") - F.col("common")).alias("every"))
+
+
+def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``pairs`` (a, b; staged) that the sketches don't rule out."""
+    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    both = _paired(pairs, sets, "n", "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            apart = np.empty(len(a), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                words = min(len(x), len(y)) // 8
+                apart[i] = np.bitwise_count(_folded([x], words) ^ _folded([y], words)).sum()
+            left = (apart * (den + num) <= (den - num) * (na + nb)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+            yield pa.RecordBatch.from_arrays([pa.array(a[left]), pa.array(b[left])], names=["a", "b"])
+
+    return both.mapInArrow(run, schema)
 
 
 def _folded(sketches: list[bytes], words: int) -> np.ndarray:
@@ -289,16 +323,16 @@ def region_tasks(open_: DataFrame, region_texts: int) -> DataFrame:
 
 
 def candidate_pairs(tasks: DataFrame, sets: DataFrame, num: int, den: int, first: int) -> DataFrame:
-    """(a, b) for :func:`possible_links` of every task; a row (0, 0) says that a task has more."""
+    """(a, b, task) for :func:`possible_links` of every task (0); a row (0, 0, task) says that a task has more."""
     placed = small(tasks).join(sets.select("node", "n", "sketch"), "node")
 
     def join(t: pa.Table) -> pa.Table:
         column = lambda c: t.column(c).to_numpy()
         found, more = possible_links(column("node"), column("label"), column("n"), t.column("sketch").to_pylist(), column("side"), num, den, first)
-        found += [(0, 0)] * more
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        rows = [(a, b, 0) for a, b in found] + [(0, 0, int(column("task")[0]))] * more
+        return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("a", "b", "task"))})
 
-    return placed.groupBy("task").applyInArrow(join, "a long, b long").distinct()
+    return placed.groupBy("task").applyInArrow(join, "a long, b long, task long").distinct()
 
 
 def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -317,33 +351,43 @@ def clusters(docs: DataFrame, k: int, num: int, den: int, region_texts: int = RE
     """
     rows = staged(described(docs, k), "described")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
-    filled = rows.filter("n > 0")
-    nodes = staged(filled.groupBy("node").agg(first.alias("first")), "nodes")
-    members = staged(region_members(node_parts(docs, rows, nodes, k, num, den)), "members")
+    nodes = staged(rows.filter("n > 0").groupBy("node").agg(first.alias("first")), "nodes")
+    other, again = repeats(rows, nodes)
+    members = staged(region_members(node_parts(docs, other, again, k, num, den)), "members")
     mine = Window.partitionBy("node")
     weighed = members.withColumn("weight", F.sum("size").over(mine))
     weighed = staged(weighed.withColumn("pivot", F.max(F.struct("weight", "node")).over(Window.partitionBy("region"))["node"]), "weighed")
-    wanted = weighed.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first.doc_id", "first.key")
-    sets = staged(sets_of(docs, staged(wanted, "wanted"), k, num, den), "sets")
-    star = weighed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    star = staged(measured(staged(star, "star"), sets), "star-measured")
+    wanted = weighed.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
+    sets = staged(sets_of(docs, staged(wanted, "wanted"), again, k, num, den), "sets")
+
+    # members that may link with their pivot are measured; in regions that need rings, all are
+    to_pivot = weighed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), (F.col("size") > region_texts).alias("large"))
+    close = possible(staged(to_pivot.select("a", "b").distinct(), "star"), sets, num, den)
+    star = staged(close.unionByName(to_pivot.filter("large").select("a", "b")).distinct(), "star-close")
+    star = staged(measured(star, sets), "star-measured")
     links = F.col("common") * den >= F.col("every") * num
     label = components(star.filter(links).select("a", "b"))
 
     away = star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), _ring(num, den).alias("ring"))
-    members = staged(weighed.filter("node <> pivot").join(away, ["pivot", "node"]).select("region", "ring", "node"), "placed")
+    placed = weighed.filter("node <> pivot").join(away, ["pivot", "node"], "left")
+    placed = placed.select("region", F.when(F.col("size") > region_texts, F.col("ring")).otherwise(0).alias("ring"), "node")
     w = Window.partitionBy("region")
-    # the closest pairs of each two components first; then, where any were held back, all that is still open
+    named = placed.join(label, "node", "left").select("region", "ring", "node", F.coalesce("label", "node").alias("label"))
+    open_ = named.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w), "size": F.count(F.lit(1)).over(w), "members": F.bit_xor(F.xxhash64("node", "ring")).over(w)}).filter("low <> high")
+    # without their pivots, more regions have the same members
+    open_ = staged(open_.select(F.xxhash64("members", "size").alias("region"), "ring", "node", "label").dropDuplicates(["region", "node", "ring"]), "open")
+    tasks = staged(region_tasks(open_, region_texts), "tasks")
+    # the closest pairs of each two components first; then, where a task held any back, all that is still open
     for first in (FIRST_PAIRS, 0):
-        named = members.join(label, "node", "left").select("region", "ring", "node", F.coalesce("label", "node").alias("label"))
-        members = staged(named.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w)}).filter("low <> high").drop("low", "high"), "open")
-        pairs = staged(candidate_pairs(staged(region_tasks(members, region_texts), "tasks"), sets, num, den, first), "candidates")
-        more = staged(measured(staged(pairs.filter("a <> b"), "pairs"), sets).filter(links).select("a", "b"), "more-links")
+        pairs = staged(candidate_pairs(tasks, sets, num, den, first), "candidates")
+        more = staged(measured(staged(pairs.filter("task = 0").select("a", "b"), "pairs"), sets).filter(links).select("a", "b"), "more-links")
         if not more.isEmpty():
             label = relabelled(label, more)
-        if pairs.filter("a = b").isEmpty():
+        held = staged(pairs.filter("task <> 0").select("task"), "held")
+        if held.isEmpty():
             break
-        members = members.select("region", "ring", "node")
+        tasks = tasks.join(small(held), "task", "left_semi").drop("label").join(label, "node", "left")
+        tasks = staged(tasks.select("task", "side", "node", F.coalesce("label", "node").alias("label")), "tasks")
 
     linked = staged(nodes.select("node", "first").join(label, "node"), "linked")
     best = linked.groupBy("label").agg(F.min("first").alias("best"))
