@@ -1,11 +1,12 @@
 """Secret scans: known forms, and candidates whose characters are too evenly mixed to be words.
 
 Known forms (``assign``, ``access``, ``hex``) are found by pattern. Beyond them, each maximal run of token
-characters of at least ``WINDOW`` characters is a candidate; it is split by character class (hex digits, letters
-and digits, base-64) and a window of ``WINDOW`` characters slides over it. The window's Shannon entropy is kept
+characters of at least ``WINDOW`` characters is a candidate, or, where spans of known forms overlap it, each part
+of it outside them. A candidate and each stretch of letters and digits in it has a character class (hex digits,
+letters of one case and digits, letters and digits, base-64), and a window of ``WINDOW`` characters slides over it. The window's Shannon entropy is kept
 up to date by the counts of the one character that enters and the one that leaves, so a candidate costs time in
 proportion to its length. The stretch covered by windows above the class's threshold is a span of the kind
-``entropy``, unless it overlaps a span of a known form or the allow-list suppresses it.
+``entropy``, unless the allow-list suppresses it; stretches that overlap are one span.
 
 Positions are code points, ends exclusive. A null text counts as empty and an empty text has no spans. Repeated
 rows give equal rows. Texts of any length are scanned whole.
@@ -27,6 +28,9 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits per character above which a window counts, by the class of its candidate.
 HEX_BITS, ALNUM_BITS, BASE64_BITS = 3.0, 3.9, 4.0
+#: The same for candidates of one case with digits, and for those with both cases and digits: about one window in a
+#: hundred of evenly drawn characters (36 or 32, 62 or 64 of them) has fewer bits.
+SINGLE_BITS, MIXED_BITS = 3.35, 3.64
 #: Candidates that these match as a whole are no secrets: identifiers, paths, numbers, words with joints, samples.
 ALLOWED = (
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
@@ -40,7 +44,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a shorter run is dropped; runs are maximal, so this finds the same ones
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 _HEX_ONLY = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)").fullmatch
+_SINGLE_ONLY = re.compile(r"(?=.*[0-9])(?:[a-z0-9]+|[A-Z0-9]+)").fullmatch
 _ALNUM_ONLY = re.compile(r"[A-Za-z0-9]+").fullmatch
+_MIXED = re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])").match
+_PIECE = re.compile(rf"[A-Za-z0-9]{{{WINDOW},}}")
 #: A pattern for ``assign`` can match only where one of these letters' groups and a sign stand.
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 
@@ -81,25 +88,50 @@ def entropy_stretch(run: str, bits: float) -> tuple[int, int] | None:
     return None if first < 0 else (first, last)
 
 
+def class_bits(run: str) -> float:
+    """The threshold of a candidate's class."""
+    if _HEX_ONLY(run):
+        return HEX_BITS
+    if _SINGLE_ONLY(run):
+        return SINGLE_BITS
+    if _MIXED(run):
+        return MIXED_BITS
+    return ALNUM_BITS if _ALNUM_ONLY(run) else BASE64_BITS
+
+
 def make_scanner(allowed: Iterable[str] = ALLOWED) -> Callable[[str], list[Span]]:
     """A function from a text to all its spans, ordered by start, then kind."""
     suppress = [re.compile(a).fullmatch for a in allowed]
 
+    def stretches(run: str, start: int) -> list[tuple[int, int]]:
+        """What is too evenly mixed in a candidate and in its pieces, without overlap."""
+        if any(f(run) for f in suppress):
+            return []
+        pieces = [(m.group(), m.start()) for m in _PIECE.finditer(run) if m.group() != run]
+        found = [(at + x[0], at + x[1]) for part, at in [(run, 0), *pieces] if (part == run or not any(f(part) for f in suppress)) and (x := entropy_stretch(part, class_bits(part)))]
+        out: list[tuple[int, int]] = []
+        for s, e in sorted(found):
+            if out and s < out[-1][1]:
+                out[-1] = out[-1][0], max(e, out[-1][1])
+            else:
+                out.append((s, e))
+        return [(start + s, start + e) for s, e in out]
+
     def scan(text: str) -> list[Span]:
         spans = known_spans(text)
         taken, at = sorted((s, e) for _, s, e in spans), 0
         for m in _RUN.finditer(text):
-            run, start = m.group(), m.start()
-            while at < len(taken) and taken[at][1] <= start:
+            # what ends before this run is passed; what remains may overlap
+            while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
-            near = at
-            while near < len(taken) and taken[near][0] < m.end() and taken[near][1] <= start:
-                near += 1
-            if near < len(taken) and taken[near][0] < m.end() or any(f(run) for f in suppress):
-                continue
-            bits = HEX_BITS if _HEX_ONLY(run) else ALNUM_BITS if _ALNUM_ONLY(run) else BASE64_BITS
-            if stretch := entropy_stretch(run, bits):
-                spans.append(("entropy", start + stretch[0], start + stretch[1]))
+            here, k = m.start(), at
+            while k < len(taken) and taken[k][0] < m.end():
+                s, e = taken[k]
+                if s - here >= WINDOW:
+                    spans += [("entropy", *x) for x in stretches(text[here:s], here)]
+                here, k = max(here, e), k + 1
+            if m.end() - here >= WINDOW:
+                spans += [("entropy", *x) for x in stretches(text[here : m.end()], here)]
         return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
     return scan

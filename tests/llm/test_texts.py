@@ -36,6 +36,26 @@ def test_entropy_and_allow_list():
     assert scan("") == []
 
 
+def test_secrets_beside_known_forms():
+    scan = secrets.make_scanner()
+    key, commit = "kX9vQ2mZ7pL4tR8wB3nJ6yH1cF5dS0gAeUiOqTzM", "0123456789abcdef01234567"
+    text = f"see path/{commit}/{key} and {key}/{commit}-x"
+    found = scan(text)
+    assert [text[s:e] for k, s, e in found if k == "hex"] == [commit] * 2
+    assert len([1 for k, s, e in found if k == "entropy" and key in text[s:e]]) == 2
+    assert all(commit not in text[s:e] for k, s, e in found if k == "entropy")
+
+
+def test_recall_on_random_keys():
+    rng, scan = random.Random(8), secrets.make_scanner()
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (lower + "0123456789", upper + "234567", lower + upper + "0123456789", lower + upper + "0123456789+/"):
+        for size in (20, 24, 32, 40):
+            keys = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(500)]
+            missed = sum(not any(k == "entropy" for k, _, _ in scan(f"a {key} b")) for key in keys)
+            assert missed <= 35, (letters, size, missed)
+
+
 def test_secret_tables(documents, empty):
     assert secrets.secret_digests(documents, ["doc_id"]).count() == documents.count()
     assert secrets.find_secrets(empty, ["doc_id"]).count() == 0
