@@ -4,7 +4,9 @@ A line is known by the 64-bit hash of its trimmed text. Lines that occur less of
 have that spread; a plain count sets them aside. For the rest, HyperLogLog sketches of the sites, merged by
 aggregation, estimate the spread; lines within ``MARGIN`` of the threshold get an exact distinct count. Lines at
 or above it leave every text, unless they make up more than half of a text's characters: such a text is a copy,
-not a page with boilerplate, and stays whole (near-duplicate search deals with it).
+not a page with boilerplate, and stays whole (near-duplicate search deals with it). With ``linked_copies`` no share
+decides: only texts that near-duplicate search links to another row are copies. A group of copies then counts as
+one site; lines that still have the spread leave the copies too, and the lines of all other texts are cut always.
 
 Null texts stay null; empty texts and blank lines stay as they are. Rows without a site add nothing to a spread.
 Repeated rows are treated alike. Other columns, whatever their names, are passed through.
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import small, staged, table
 
 MIN_SITES = 10
@@ -48,7 +51,31 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact)
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
+def copied_places(docs: DataFrame, text: str, lines: DataFrame, cut: DataFrame, min_sites: int) -> DataFrame:
+    """(__key, __key2, __keep): of texts that are copies, the places of lines that spread by copying alone.
+
+    Copies are texts with lines to cut over half their characters that near-duplicate search (five words, 0.8) links
+    to another one, or that stand in more than one row. Each group of copies counts as one site.
+    """
+    whole = docs.select(*_keys(F.col(text)), F.col(text).alias("text"))
+    size = F.aggregate("__cut", F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    much = staged(cut.select("__key", "__key2", size.alias("size")), "lines-much")
+    rows = whole.join(small(much), ["__key", "__key2"]).filter(F.col("size") * 2 > F.length("text"))
+    one = staged(rows.groupBy("__key", "__key2").agg(F.count(F.lit(1)).alias("rows"), F.first("text").alias("text")), "lines-whole")
+    found = staged(jaccard.clusters(one.select(F.col("__key").alias("doc_id"), "text"), 5, 80, 100), "lines-groups")
+    member = one.select("__key", "__key2", "rows").join(found.select(F.col("doc_id").alias("__key"), F.col("keeper_id").alias("group")).distinct(), "__key")
+    groups = member.groupBy("group").agg(F.sum("rows").alias("n")).filter("n > 1").select("group")
+    member = staged(member.join(groups, "group").select("__key", "__key2", F.concat(F.lit("copies "), F.col("group").cast("string")).alias("group")), "lines-copies")
+    inside = lines.join(small(member), ["__key", "__key2"])
+    asked = staged(inside.select("h").distinct(), "lines-asked")
+    left = lines.join(small(asked), "h", "left_semi").join(small(member), ["__key", "__key2"], "left")
+    # no site has a name with this line feed
+    left = staged(left.select("h", F.when(F.col("group").isNotNull(), F.concat(F.lit("\n"), "group")).otherwise(F.col("site")).alias("site")).distinct(), "lines-units")
+    anyway = staged(spread_lines(left, min_sites), "lines-anyway")
+    return staged(inside.join(small(anyway), "h", "left_anti").groupBy("__key", "__key2").agg(F.collect_set("at").alias("__keep")), "lines-kept")
+
+
+def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, broadcast_texts: int = BROADCAST_TEXTS, linked_copies: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with boilerplate lines cut from ``text``, and ``__removed``: how many."""
     keyed = docs.select(*_keys(F.col(text)), F.col(site).cast("string").alias("site"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     lines = keyed.select("__key", "__key2", "site", "at", F.length("line").alias("size"), _trimmed(F.col("line")).alias("line"))
@@ -60,8 +87,14 @@ def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text
     cut = staged(cut, "lines-cut")
     wide = docs.withColumns({"__key": _keys(F.col(text))[0], "__key2": _keys(F.col(text))[1]})
     joined = wide.join(small(cut, broadcast_texts), ["__key", "__key2"], "left")
+    if linked_copies:
+        kept = copied_places(docs, text, lines, cut, min_sites)
+        joined = joined.join(small(kept, broadcast_texts), ["__key", "__key2"], "left")
+        rest_of = F.array_except(F.transform("__cut", lambda x: x["at"]), F.coalesce("__keep", F.array().cast("array<int>")))
     much = F.aggregate("__cut", F.lit(0).cast("long"), lambda a, x: a + x["size"]) * 2 > F.length(text)
     places = F.when(F.col("__cut").isNull() | much, F.array().cast("array<int>")).otherwise(F.transform("__cut", lambda x: x["at"]))
+    if linked_copies:
+        places = F.when(F.col("__cut").isNull(), F.array().cast("array<int>")).otherwise(rest_of)
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n")
     cleaned = joined.withColumn("__places", places).withColumn("__removed", F.size("__places").cast("long"))
     cleaned = cleaned.withColumn(text, F.when(F.col("__removed") > 0, rest).otherwise(F.col(text)))

@@ -134,6 +134,21 @@ def test_lines(spark, empty):
     assert lines.without_boilerplate(empty).count() == 0
 
 
+def test_lines_leave_every_text_but_copies(spark):
+    notice = "cookie notice of all the sites there are"
+    story = [f"story line {j} " + " ".join(f"w{j}x{k}" for k in range(12)) for j in range(5)]
+    rows = [(i, f"s{i}", f"{notice}\nown {i}") for i in range(12)]
+    rows += [(100 + i, f"s{i}", "\n".join([notice, *story])) for i in range(12)]
+    rows += [(200 + i, f"s{i}", "\n".join([*story, f"end {i}"])) for i in range(12)]
+    rows += [(300, "s1", notice), (301, "s1", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = {r["doc_id"]: r["text"] for r in lines.without_boilerplate(df, linked_copies=True).collect()}
+    assert all(out[i] == f"own {i}" for i in range(12))
+    assert all(out[100 + i] == "\n".join(story) for i in range(12))
+    assert all(out[200 + i] == rows[24 + i][2] for i in range(12))
+    assert out[300] == "" and out[301] is None and len(out) == len(rows)
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> How are you?\nFine, thanks."), (1, 2, "u", "> > How are you?\n> Fine, thanks.\nGood to hear"),
