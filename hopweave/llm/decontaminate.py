@@ -6,9 +6,10 @@ finds these places in one pass over a text; around each, Myers' bit-parallel alg
 step per character) computes the smallest edit distance of the whole item to any stretch of the text. Exact: no
 passage within k edits is missed.
 
-Texts and items are compared in lower case with single blanks. Null or empty texts hold nothing; null items and
-items under ``LEAST_CHARS`` characters are not searched for, for they would be found by chance. Repeated rows give
-equal results; items with equal text are all reported. Benchmarks are taken in parts of ``PART_CHARS`` characters,
+Texts and items are compared in lower case with single blanks. Null or empty texts hold nothing; null and blank
+items are not searched for. Items under ``LEAST_CHARS`` characters would be found by chance with edits, so they
+must stand in the text unchanged and between word boundaries. Repeated rows give equal results; items with equal
+text are all reported. Benchmarks are taken in parts of ``PART_CHARS`` characters,
 each broadcast with that bound, so their size is not limited.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, staged, table
 
 ERROR_SHARE = 0.08
+#: Shorter items are searched for without edits.
 LEAST_CHARS = 40
 PART_CHARS = 4_000_000
 
@@ -59,6 +61,12 @@ def myers(item_bits: dict[str, int], m: int, text: str, most: int) -> tuple[int,
     return None if at < 0 else (best, at)
 
 
+def whole_words(line: str, start: int, stop: int) -> bool:
+    """Whether no word goes on beyond either end of ``line[start:stop]``."""
+    cuts = lambda at: 0 < at < len(line) and line[at - 1].isalnum() and line[at].isalnum()
+    return not cuts(start) and not cuts(stop)
+
+
 class Matcher:
     """Finds the items of one part of the benchmark in texts."""
 
@@ -66,13 +74,13 @@ class Matcher:
         self.share = share
         by_text: dict[str, list[int]] = {}
         for name, text in items:
-            if len(key := normal(text)) >= LEAST_CHARS:
+            if key := normal(text):
                 by_text.setdefault(key, []).append(name)
         self.items = [(key, sorted(set(names))) for key, names in sorted(by_text.items())]
         self.bits: dict[int, dict[str, int]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (key, _) in enumerate(self.items):
-            k = int(len(key) * share)
+            k = self._edits(len(key))
             cuts = [len(key) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces.setdefault(key[a:b], []).append((n, a))
@@ -82,6 +90,9 @@ class Matcher:
         if pieces:
             self.automaton.make_automaton()
 
+    def _edits(self, m: int) -> int:
+        return int(m * self.share) if m >= LEAST_CHARS else 0
+
     def _bits(self, n: int) -> dict[str, int]:
         if n not in self.bits:
             bits: dict[str, int] = {}
@@ -103,8 +114,12 @@ class Matcher:
                     continue
                 key = self.items[n][0]
                 m = len(key)
-                k = int(m * self.share)
+                k = self._edits(m)
                 diagonal = end + 1 - length - offset
+                if m < LEAST_CHARS:
+                    if whole_words(line, diagonal, diagonal + m):
+                        found[n] = (0, diagonal, diagonal + m)
+                    continue
                 if n in seen and abs(seen[n] - diagonal) <= k:
                     continue  # that window holds this place with its full margin
                 if diagonal >= 0 and line.startswith(key, diagonal):

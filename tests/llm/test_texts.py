@@ -218,3 +218,12 @@ def test_decontamination_tables(spark, empty):
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [12, 13, 14]
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_short_items_are_found_unchanged(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "2 + 2"), (3, " \n"), (4, "")], "item_id long, text string")
+    rows = [(1, "so: what is  the\ncapital of FRANCE? Paris"), (2, "what is the capital of france"), (3, "somewhat is the capital of france?"), (4, "12 + 2 or 2 + 23"), (5, "is 12 + 2, or 2 + 2"), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert found == [(1, 1, 0), (5, 2, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminated(docs, bench).collect()) == [2, 3, 4, 6]
