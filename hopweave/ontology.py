@@ -54,9 +54,16 @@ class Ontology:
 
     @classmethod
     def from_tables(cls, types: DataFrame, predicates: DataFrame, symmetric: DataFrame, directions: DataFrame | None = None, aspects: DataFrame | None = None) -> Ontology:
-        """From tables (child, parent) and (name); reads at most ``MOST_NAMES`` rows of each."""
-        pairs = lambda t: () if t is None else tuple((r[0], r[1]) for r in t.select("child", "parent").limit(MOST_NAMES + 1).collect())
-        return cls(pairs(types), pairs(predicates), tuple(r[0] for r in symmetric.select("name").limit(MOST_NAMES).collect()), pairs(directions), pairs(aspects))
+        """From tables (child, parent) and (name); raises if one has more than ``MOST_NAMES`` distinct rows."""
+
+        def rows(t: DataFrame | None, *names: str) -> list:
+            found = [] if t is None else t.select(*names).distinct().limit(MOST_NAMES + 1).collect()
+            if len(found) > MOST_NAMES:
+                raise ValueError(f"more than {MOST_NAMES} distinct rows of {', '.join(names)}")
+            return sorted(found, key=lambda r: tuple(x or "" for x in r))
+
+        pairs = lambda t: tuple((r[0], r[1]) for r in rows(t, "child", "parent"))
+        return cls(pairs(types), pairs(predicates), tuple(r[0] for r in rows(symmetric, "name")), pairs(directions), pairs(aspects))
 
     @cached_property
     def type_closure(self) -> dict[str, list[str]]:

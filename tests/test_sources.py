@@ -3,6 +3,7 @@
 import json
 
 import golden
+import pytest
 from pyspark.sql import functions as F
 
 from hopweave.operators import grouping, merge, paths
@@ -108,3 +109,18 @@ def test_stream(spark, tmp_path):
     query.stop()
     out = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert out.select(g.base.columns).exceptAll(g.base).isEmpty() and out.count() == g.base.count()
+
+
+def test_ontology_tables_are_whole_or_refused(spark, monkeypatch):
+    from hopweave import ontology
+
+    monkeypatch.setattr(ontology, "MOST_NAMES", 6)
+    pairs = spark.createDataFrame([("a", "b")], "child string, parent string")
+    names = spark.createDataFrame([("p",)] * 20 + [("q",)] * 20, "name string")
+    assert ontology.Ontology.from_tables(pairs, pairs, names).symmetric == ("p", "q")
+    many = spark.createDataFrame([(f"n{i}",) for i in range(7)], "name string")
+    with pytest.raises(ValueError):
+        ontology.Ontology.from_tables(pairs, pairs, many)
+    for field in ("directions", "aspects"):
+        with pytest.raises(ValueError):
+            ontology.Ontology.from_tables(pairs, pairs, names, **{field: many.selectExpr("name as child", "name as parent")})
