@@ -9,8 +9,9 @@ passage within k edits is missed.
 Texts and items are compared in lower case with single blanks. Null or empty texts hold nothing; null and blank
 items are not searched for. Items under ``LEAST_CHARS`` characters would be found by chance with edits, so they
 must stand in the text unchanged and between word boundaries. Repeated rows give equal results; items with equal
-text are all reported. Benchmarks are taken in parts of ``PART_CHARS`` characters,
-each broadcast with that bound, so their size is not limited.
+text are all reported. Texts of any length are searched whole, in time that grows with their length. Benchmarks are
+taken in parts of ``PART_CHARS`` characters, each broadcast with that bound, so their size is not limited. Other
+columns, whatever their names, are passed through; an empty table or benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, table
+from .common import filter_text, parts, quoted, staged, table
 
 ERROR_SHARE = 0.08
 #: Shorter items are searched for without edits.
@@ -157,18 +158,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: str = "doc_id", sh
 
     ``start`` and ``end`` are places in the normalised text; for distances over 0 the start is a lower bound.
     """
-    bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(keep), F.col("text").cast("string").alias("__text"))
-    schema = source.select(keep).schema.add("item_id", "long").add("distance", "long").add("start", "long").add("end", "long")
+    source = docs.select(F.col(quoted(keep)).alias("k"), F.col("text").cast("string").alias("t"))
+    schema = source.select("k").schema.add("item_id", "long").add("distance", "long").add("start", "long").add("end", "long")
     out = None
     for make in _matchers(docs, benchmark, share, part_chars):
 
         def run(batches, make=make):
             matcher = make()
-            for batch in batches:
+            for batch in parts(batches):
                 rows: list[tuple] = []
-                for i, t in enumerate(batch.column(1)):
-                    for n, hit in matcher.find(t.as_py()).items():
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    for n, hit in matcher.find(t).items():
                         rows += [(i, name, *hit) for name in matcher.items[n][1]]
                 if rows:
                     at, *rest = zip(*rows, strict=True)
@@ -176,21 +176,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: str = "doc_id", sh
 
         one = source.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.toDF(keep, "item_id", "distance", "start", "end")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE, part_chars: int = PART_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark, all columns unchanged."""
-    bounded_batches(docs.sparkSession)
     for make in _matchers(docs, benchmark, share, part_chars):
 
-        def run(batches, make=make):
+        def passes(make=make):
             matcher = make()
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in texts], type=pa.bool_()))
+            return lambda t: not matcher.find(t)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filter_text(docs, passes)
     return docs
 
 
