@@ -4,29 +4,35 @@ A text is the set of its distinct k-word shingles (64-bit hashes). Two texts lin
 ``num / den``, that is, when their distance is at most eps = 1 - num / den. Equal sets meet first and go on as one
 node. The metric-space join then runs from coarse regions to fine ones:
 
-1. *Regions.* In a Voronoi split around sampled pivots, unrelated texts are at distance 1 from every pivot, and
-   no triangle window separates them. The first split therefore takes pivots that lie near by construction: the
-   hash range is cut into more parts than two linked texts may have differing shingles, so linked texts agree on
-   a whole part (pigeonhole); texts that agree on one form a region. A text is replicated to as many regions as it
-   may have differences, plus one, and again in the next class of sizes if a larger partner may be there.
-2. *Pivots.* In each region the text that shares most regions with others is the pivot. Every member's exact
-   distance to it is computed; members within eps link. A region whose members then all lie in one component, or
-   that has no two members beside its pivot, is done.
-3. *Windows.* A region of more than ``REGION_TEXTS`` texts is split into rings of width eps around its pivot. By the
-   triangle inequality linked texts lie in the same or in neighbouring rings, so each text is replicated to these
-   only; a ring above the bound is dealt out in chunks, and each two chunks meet in one task.
+1. *Filter.* Unrelated texts are at distance 1 from every pivot, and no triangle window separates them: a split of
+   the whole table around pivots would replicate every text to every region (README has figures). So signatures go
+   first. The hash range is cut into more parts than two linked texts may have differing shingles, so linked texts
+   agree on a whole part (pigeonhole); texts that agree on one form a region. A text is in as many regions as it may
+   have differences, plus one, and again in the next class of sizes if a larger partner may be there.
+2. *Pivots.* In each region the text that shares most regions with others is the first pivot. Members within eps of
+   it link. A region whose other members then all lie in one component is done.
+3. *Voronoi regions.* A region of more than ``REGION_TEXTS`` texts is split around ``PIVOTS`` of its texts: every
+   member's exact distance to each pivot is computed (members times pivots, no more), it belongs to the region of its
+   nearest pivot, and is replicated to those of all pivots at most 2 eps farther. By the triangle inequality two linked
+   texts meet in the region of either's nearest pivot. Members within eps of a pivot link; regions of one component
+   are done; those above the bound are split again with other pivots (recursion). Where that leaves a region with over
+   three quarters of the texts it came from, its texts are too close to be told apart by pivots; they are dealt out in
+   blocks, and each two blocks meet in one task.
 4. *Exact join.* Members of different components are compared by parity sketches: bit j tells whether an odd number
    of the set's hashes falls on j. Two sets' sketches differ in no more bits than the sets in shingles, which rules
    out nearly every pair that is no link; pairs that are left are measured exactly. For each two components the
    closest pairs go first; the others follow only where those did not join the two (recursion on what is open).
 
 No pair list of a group is ever made: the rows of steps 1 to 3 are memberships, and step 4 returns only pairs at the
-threshold that could join two components. Every link between different texts is found or implied by a path of
-links, so the components are exact (up to collisions of 64-bit hashes).
+threshold that could join two components. No window sorts a group: sizes, members' digests, pivots and nearest
+distances are aggregates, combined before they are shuffled. Every link between different texts is found or implied
+by a path of links, so the components are exact (up to collisions of 64-bit hashes).
 
 Null and empty texts, and texts without words, have an empty set, link with nothing and are components of their
-own. A text of fewer than k words is one shingle. Texts are taken whole. Repeated rows fall together. Rows with a
-null id take part; the component's id is the smallest known id, null only if it has none.
+own. A text of fewer than k words is one shingle. Texts of any length are taken whole. Repeated rows fall together;
+a similarity that equals the threshold is a link. Rows with a null id take part; the component's id is the smallest
+known id, null only if it has none. Other columns, whatever their names, are passed through; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -34,19 +40,22 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import bounded_batches, map_text, small, staged, table
+from .common import map_text, parts, shielded, small, staged, table
 from .graphs import components
 
-#: Texts of a region up to which it is joined in one task (with its partner chunk: twice as many).
-REGION_TEXTS = 512
+#: Texts of a region up to which it is joined in one task (with its partner block: twice as many).
+REGION_TEXTS = 256
+#: Pivots, about, that a larger region is split around.
+PIVOTS = 16
 #: Of each two components in a region, so many pairs are measured first.
 FIRST_PAIRS = 4
 #: Words whose hash a task keeps; the store is emptied when full.
@@ -140,62 +149,47 @@ def _key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, key, node, n) of every row of ``docs``; ``key`` is a hash of the text, ``node`` the set's name."""
+def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, key, node, n, parts) of every row of ``docs``: ``key`` is a hash of the text, ``node`` the set's name."""
 
     def make():
-        shingles = Shingles(k)
+        shingles, signatures = Shingles(k), Parts(num, den)
 
         def one(text: str | None) -> tuple:
             s = shingles(text)
-            return _node(s), len(s)
+            return _node(s), len(s), signatures(s)
 
         return one
 
-    return map_text(docs.select("doc_id", _key().alias("key"), "text"), ["doc_id", "key"], "text", [pa.field("node", pa.int64()), pa.field("n", pa.int64())], make)
+    fields = [pa.field("node", pa.int64()), pa.field("n", pa.int64()), pa.field("parts", pa.list_(pa.int64()))]
+    return map_text(docs.select("doc_id", _key().alias("key"), "text"), ["doc_id", "key"], "text", fields, make)
 
 
 def _same(d: str = "d") -> Column:
     return (F.col("key") == F.col("__key")) & F.col(d).eqNullSafe(F.col("__id"))
 
 
-def repeats(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (__id, __key) that are not their node's first, or are there more than once; and of these the firsts."""
-    first = nodes.select("node", F.col("first.doc_id").alias("f_id"), F.col("first.key").alias("f_key"))
-    counted = staged(rows.filter("n > 0").groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("times")).join(first, "node"), "texts")
-    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))
-    other = staged(counted.filter(~is_first | (F.col("times") > 1)).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), is_first.alias("__first")), "other-texts")
-    return other.drop("__first"), staged(other.filter("__first").drop("__first"), "repeated-texts")
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("d"), _key().alias("key"), F.col("text").cast("string").alias("text"))
 
 
-def node_parts(docs: DataFrame, other: DataFrame, again: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, parts) of one row of each node. The texts are read again, which costs less than keeping the parts."""
-    texts = _keyed(docs).join(small(other), _same(), "left_anti")
-    if not again.isEmpty():
-        texts = texts.unionByName(_keyed(docs).join(small(again), _same(), "left_semi").dropDuplicates(["d", "key"]))
-
-    def make():
-        shingles, parts = Shingles(k), Parts(num, den)
-
-        def one(text: str | None) -> tuple:
-            s = shingles(text)
-            return _node(s), parts(s)
-
-        return one
-
-    return map_text(texts, [], "text", [pa.field("node", pa.int64()), pa.field("parts", pa.list_(pa.int64()))], make)
+def merged_regions(members: DataFrame) -> DataFrame:
+    """(region, node, size) from (region, node), distinct and staged: regions with the same members become one, and
+    those of one member fall away."""
+    of = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("size > 1")
+    of = staged(of.select("region", F.xxhash64("members", "size").alias("as"), "size"), "regions")
+    # one region of each set of members stands for all
+    one = staged(of.groupBy("as", "size").agg(F.min("region").alias("region")), "regions")
+    return members.join(small(one.select("region", F.col("as"), "size")), "region").select(F.col("as").alias("region"), "node", "size")
 
 
-def region_members(nodes: DataFrame) -> DataFrame:
-    """(region, node, size): regions of two members or more; regions with the same members are one."""
-    rows = nodes.select("node", F.explode("parts").alias("part"))
-    w = Window.partitionBy("part")
-    shared = rows.withColumns({"size": F.count(F.lit(1)).over(w), "members": F.bit_xor(F.xxhash64("node")).over(w)}).filter("size > 1")
-    return shared.select(F.xxhash64("members", "size").alias("region"), "node", "size").dropDuplicates(["region", "node"])
+def region_members(rows: DataFrame) -> DataFrame:
+    """(region, node, size): regions of two members or more, from the staged rows' parts."""
+    each = rows.filter("n > 0").select("node", F.explode("parts").alias("region"))
+    # copies of one text are one node; a part that only one node holds is no region
+    shared = each.groupBy("region").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("region")
+    found = each.join(small(staged(shared, "shared")), "region", "left_semi").distinct()
+    return merged_regions(staged(found, "found"))
 
 
 def parity_sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -207,22 +201,21 @@ def parity_sketch(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, again: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, n, shingles, sketch) of the wanted ``nodes`` (__id, __key): one text of each is hashed again."""
-    bounded_batches(docs.sparkSession)
-    texts = _keyed(docs).join(small(nodes), _same(), "left_semi")
-    if not again.isEmpty():
-        texts = texts.join(small(again), _same(), "left_anti").unionByName(texts.join(small(again), _same(), "left_semi").dropDuplicates(["d", "key"]))
-    texts = texts.select("text")
+def sets_of(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, n, shingles, sketch) of the wanted ``nodes`` (__id, __key): one text of each is hashed again, which costs
+    less than keeping all sets. Staged."""
+    texts = _keyed(docs).join(small(nodes), _same(), "left_semi").select("text")
     schema = StructType([StructField("node", LongType()), StructField("n", LongType()), StructField("shingles", ArrayType(LongType())), StructField("sketch", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
-        for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column(0)]
+        for batch in parts(batches):
+            found = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array([parity_sketch(s, num, den).tobytes() for s in found], pa.binary())], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    sets = staged(texts.mapInArrow(run, schema), "sets")
+    # rows that repeat both id and text give a set twice
+    return sets if sets.groupBy("node").count().filter("count > 1").isEmpty() else staged(sets.dropDuplicates(["node"]), "sets")
 
 
 def _paired(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -246,7 +239,7 @@ def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     both = _paired(pairs, sets, "n", "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             apart = np.empty(len(a), np.int64)
             for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
@@ -296,30 +289,74 @@ def possible_links(node: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: l
     return out, more
 
 
-def _ring(num: int, den: int) -> Column:
-    """How many times eps fits into the distance (whole numbers throughout)."""
-    return F.floor((F.col("every") - F.col("common")) * den / (F.col("every") * (den - num))).cast("int")
-
-
-def region_tasks(open_: DataFrame, region_texts: int) -> DataFrame:
-    """(task, side, node, label) from the open regions' (region, ring, node, label): every two linked texts meet."""
-    rings = staged(open_.groupBy("region", "ring").agg(F.count(F.lit(1)).alias("texts")), "rings")
-    sizes = rings.groupBy("region").agg(F.sum("texts").alias("whole"))
-    cells = staged(rings.join(sizes, "region").select("region", "ring", (F.col("whole") <= region_texts).alias("one"), F.ceil(F.col("texts") / region_texts).cast("int").alias("chunks")), "ring-sizes")
-    known = open_.join(small(cells), ["region", "ring"])
-    whole = known.filter("one").select(F.xxhash64("region").alias("task"), F.lit(0).alias("side"), "node", "label")
-    if cells.filter("not one").isEmpty():
-        return whole
-    dealt = known.filter("not one").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # which cells meet which: a table of cells
-    listed = cells.filter("not one").select("region", "ring", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    a = listed.select("region", F.struct("ring", "chunk").alias("x"))
-    b = listed.select("region", F.struct("ring", "chunk").alias("y"))
-    met = staged(a.join(b, "region").filter((F.col("x") <= F.col("y")) & (F.col("y.ring") - F.col("x.ring") <= 1)).select("region", "x", "y", F.xxhash64("region", "x", "y").alias("task")), "ring-pairs")
-    same = F.col("x") == F.col("y")
-    part = met.select("region", "task", F.explode(F.when(same, F.array(F.struct(F.col("x").alias("cell"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("cell"), F.lit(1).alias("side")), F.struct(F.col("y").alias("cell"), F.lit(2).alias("side"))))).alias("p"))
-    part = part.select("region", "task", F.col("p.cell.ring").alias("ring"), F.col("p.cell.chunk").alias("chunk"), F.col("p.side").alias("side"))
-    return whole.unionByName(dealt.join(part, ["region", "ring", "chunk"]).select("task", "side", "node", "label"))
+def opened(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(region, node, label) of the regions whose members lie in more than one component."""
+    named = staged(members.select("region", "node").join(small(label), "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")), "named")
+    live = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
+    return staged(named.join(small(staged(live, "live")), "region", "left_semi"), "open")
+
+
+def voronoi(regions: DataFrame, sets: DataFrame, num: int, den: int, pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Split ``regions`` (region, node, size; staged): the cells (region, cell, node, size) and the links (a, b) that
+    the distances show. Linked members of a region share the cell of either's nearest pivot."""
+    draw = F.xxhash64("region", "node", F.lit(turn))
+    drawn = regions.select("region", "node", draw.alias("draw"), "size")
+    one = drawn.groupBy("region").agg(F.min(F.struct("draw", "node"))["node"].alias("pivot"))  # never none
+    more = drawn.filter(F.pmod("draw", F.greatest(F.lit(1), F.floor(F.col("size") / pivots))) == 0).select("region", F.col("node").alias("pivot"))
+    chosen = staged(one.unionByName(more).distinct(), "pivots")
+    star = staged(regions.select("region", "node", "size").join(small(chosen), "region"), "star")
+    other = staged(star.filter("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "distances")
+    known = staged(measured(other, sets), "distances")
+    away = ((F.col("every") - F.col("common")) / F.col("every")).alias("away")
+    far = star.join(known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), away), ["pivot", "node"], "left")
+    far = staged(far.select("region", "pivot", "node", "size", F.coalesce("away", F.lit(0.0)).alias("away")), "far")
+    near = staged(far.groupBy("region", "node").agg(F.min("away").alias("near")), "near")
+    # a double's rounding must not shut a text out
+    kept = far.join(near, ["region", "node"]).filter(F.col("away") <= F.col("near") + 2 * (1 - num / den) + 1e-9)
+    cells = staged(kept.select("region", F.xxhash64("region", "pivot", F.lit(turn)).alias("cell"), "node", "size"), "cells")
+    return cells, known.filter(F.col("common") * den >= F.col("every") * num).select("a", "b")
+
+
+def split_regions(open_: DataFrame, label: DataFrame, sets: DataFrame, num: int, den: int, region_texts: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions (region, node, label) that fit one task, regions that pivots cannot split, and the labels with what was
+    linked on the way. ``open_`` has (region, node, label); a region above ``region_texts`` is split until it fits."""
+    whole, dense, turn = [], [], 0
+    while True:
+        sized = staged(open_.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        known = open_.join(small(sized), "region")
+        whole.append(known.filter(F.col("size") <= region_texts).select("region", "node"))
+        large = staged(known.filter(F.col("size") > region_texts).select("region", "node", "size"), "large")
+        if large.isEmpty():
+            break
+        cells, links = voronoi(large, sets, num, den, pivots, turn)
+        turn += 1
+        links = staged(links, "near-links")
+        if not links.isEmpty():
+            label = relabelled(label, links)
+        held = cells.groupBy("region", "cell", "size").agg(F.count(F.lit(1)).alias("held")).groupBy("region", "size").agg(F.max("held").alias("held"))
+        stuck = staged(held.filter(F.col("held") * 4 > F.col("size") * 3).select("region"), "stuck")
+        dense.append(large.join(small(stuck), "region", "left_semi").select("region", "node"))
+        fresh = staged(cells.join(small(stuck), "region", "left_anti").select(F.col("cell").alias("region"), "node"), "fresh")
+        open_ = opened(merged_regions(fresh), label)
+    join = lambda made: staged(reduce(DataFrame.unionByName, made), "regions")
+    return opened(join(whole), label), opened(join(dense), label) if dense else open_.limit(0), label
+
+
+def region_tasks(whole: DataFrame, dense: DataFrame, region_texts: int) -> DataFrame:
+    """(task, side, node, label) from regions (region, node, label): any two members of a region meet in some task.
+    Regions of ``dense`` are dealt out in blocks, and each two blocks are a task."""
+    small_ = whole.select(F.xxhash64("region").alias("task"), F.lit(0).alias("side"), "node", "label")
+    if dense.isEmpty():
+        return small_
+    count = staged(dense.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / region_texts).cast("int").alias("blocks")), "blocks")
+    dealt = dense.join(small(count), "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # which blocks meet which, and in which role: a table of blocks
+    x = count.select("region", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    met = staged(x.select("region", "x", F.explode(F.sequence(F.col("x"), F.col("blocks") - 1)).alias("y")), "block-pairs")
+    alone = F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")))
+    both = F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side")))
+    role = met.select("region", F.xxhash64("region", "x", "y").alias("task"), F.explode(F.when(F.col("x") == F.col("y"), alone).otherwise(both)).alias("r")).select("region", "task", "r.block", "r.side")
+    return small_.unionByName(dealt.join(role, ["region", "block"]).select("task", "side", "node", "label"))
 
 
 def candidate_pairs(tasks: DataFrame, sets: DataFrame, num: int, den: int, first: int) -> DataFrame:
@@ -344,55 +381,49 @@ def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     return staged(every.join(joined.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "left").select("node", F.coalesce("joined", "label").alias("label")), "labels")
 
 
-def clusters(docs: DataFrame, k: int, num: int, den: int, region_texts: int = REGION_TEXTS) -> DataFrame:
+def clusters(docs: DataFrame, k: int, num: int, den: int, region_texts: int = REGION_TEXTS, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, key, n, keeper_id, keeper_key) of every row: the row of the smallest id in its component.
 
     A row is its component's keeper if its own ``doc_id`` and ``key`` are those.
     """
-    rows = staged(described(docs, k), "described")
+    rows = staged(described(docs, k, num, den), "described")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
     nodes = staged(rows.filter("n > 0").groupBy("node").agg(first.alias("first")), "nodes")
-    other, again = repeats(rows, nodes)
-    members = staged(region_members(node_parts(docs, other, again, k, num, den)), "members")
-    mine = Window.partitionBy("node")
-    weighed = members.withColumn("weight", F.sum("size").over(mine))
-    weighed = staged(weighed.withColumn("pivot", F.max(F.struct("weight", "node")).over(Window.partitionBy("region"))["node"]), "weighed")
-    wanted = weighed.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
-    sets = staged(sets_of(docs, staged(wanted, "wanted"), again, k, num, den), "sets")
-
-    # members that may link with their pivot are measured; in regions that need rings, all are
-    to_pivot = weighed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), (F.col("size") > region_texts).alias("large"))
-    close = possible(staged(to_pivot.select("a", "b").distinct(), "star"), sets, num, den)
-    star = staged(close.unionByName(to_pivot.filter("large").select("a", "b")).distinct(), "star-close")
-    star = staged(measured(star, sets), "star-measured")
+    members = staged(region_members(rows), "members")
+    heavy = staged(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    named = staged(members.join(small(heavy), "node"), "weighed")
+    pivot = staged(named.groupBy("region").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot")), "first-pivots")
+    placed = staged(members.join(small(pivot), "region"), "placed")
+    wanted = heavy.select("node").join(nodes, "node").select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
+    sets = sets_of(docs, staged(wanted, "wanted"), k, num, den)
+
+    # members that may link with their region's first pivot are measured
+    to_pivot = placed.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    close = staged(possible(staged(to_pivot.distinct(), "star"), sets, num, den), "star-close")
     links = F.col("common") * den >= F.col("every") * num
-    label = components(star.filter(links).select("a", "b"))
-
-    away = star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), _ring(num, den).alias("ring"))
-    placed = weighed.filter("node <> pivot").join(away, ["pivot", "node"], "left")
-    placed = placed.select("region", F.when(F.col("size") > region_texts, F.col("ring")).otherwise(0).alias("ring"), "node")
-    w = Window.partitionBy("region")
-    named = placed.join(label, "node", "left").select("region", "ring", "node", F.coalesce("label", "node").alias("label"))
-    open_ = named.withColumns({"low": F.min("label").over(w), "high": F.max("label").over(w), "size": F.count(F.lit(1)).over(w), "members": F.bit_xor(F.xxhash64("node", "ring")).over(w)}).filter("low <> high")
-    # without their pivots, more regions have the same members
-    open_ = staged(open_.select(F.xxhash64("members", "size").alias("region"), "ring", "node", "label").dropDuplicates(["region", "node", "ring"]), "open")
-    tasks = staged(region_tasks(open_, region_texts), "tasks")
+    label = components(measured(close, sets).filter(links).select("a", "b"))
+
+    # a pivot has met all of its region; without it, more regions have the same members
+    rest = staged(placed.filter("node <> pivot").select("region", "node"), "rest")
+    whole, dense, label = split_regions(opened(merged_regions(rest), label), label, sets, num, den, region_texts, pivots)
+    tasks = staged(region_tasks(whole, dense, region_texts), "tasks")
     # the closest pairs of each two components first; then, where a task held any back, all that is still open
-    for first in (FIRST_PAIRS, 0):
-        pairs = staged(candidate_pairs(tasks, sets, num, den, first), "candidates")
+    for first_pairs in (FIRST_PAIRS, 0):
+        pairs = staged(candidate_pairs(tasks, sets, num, den, first_pairs), "candidates")
         more = staged(measured(staged(pairs.filter("task = 0").select("a", "b"), "pairs"), sets).filter(links).select("a", "b"), "more-links")
         if not more.isEmpty():
             label = relabelled(label, more)
         held = staged(pairs.filter("task <> 0").select("task"), "held")
         if held.isEmpty():
             break
-        tasks = tasks.join(small(held), "task", "left_semi").drop("label").join(label, "node", "left")
+        tasks = tasks.join(small(held), "task", "left_semi").drop("label").join(small(label), "node", "left")
         tasks = staged(tasks.select("task", "side", "node", F.coalesce("label", "node").alias("label")), "tasks")
 
-    linked = staged(nodes.select("node", "first").join(label, "node"), "linked")
+    linked = staged(nodes.join(small(label), "node"), "linked")
     best = linked.groupBy("label").agg(F.min("first").alias("best"))
-    of_node = staged(nodes.select("node", "first").join(linked.join(best, "label").select("node", "best"), "node", "left").select("node", F.coalesce("best", "first").alias("keeper")), "keepers")
-    out = rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+    joined = staged(linked.join(best, "label").select("node", "best"), "best")
+    of_node = staged(nodes.join(small(joined), "node", "left").select("node", F.coalesce("best", "first").alias("keeper")), "keepers")
+    out = rows.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(small(of_node), "node", "left")
     alone = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
     keeper = F.when(F.col("n") > 0, F.col("keeper")).otherwise(alone)
     return out.select("doc_id", "key", "n", keeper["doc_id"].alias("keeper_id"), keeper["key"].alias("keeper_key"))
@@ -400,17 +431,17 @@ def clusters(docs: DataFrame, k: int, num: int, den: int, region_texts: int = RE
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of each component of ``docs``, that of the smallest id; all columns unchanged."""
-    found = staged(clusters(docs, k, num, den), "clusters")
+    plain, back = shielded(docs, ["doc_id", "text"])
+    found = staged(clusters(plain.select("doc_id", "text"), k, num, den), "clusters")
     other = found.filter(~(F.col("doc_id").eqNullSafe(F.col("keeper_id")) & (F.col("key") == F.col("keeper_key"))))
     gone = staged(other.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct(), "copies")
-    key = _key()
-    kept = docs.join(small(gone), (key == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    keyed = plain.withColumn("key", _key())
+    kept = keyed.join(small(gone), _same("doc_id"), "left_anti")
     # rows that repeat both id and text: one stays
     again = staged(found.filter("n > 0").groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")), "repeated")
-    if again.isEmpty():
-        return kept
-    same = (key == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return kept.join(small(again), same, "left_anti").unionByName(kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not again.isEmpty():
+        kept = kept.join(small(again), _same("doc_id"), "left_anti").unionByName(kept.join(small(again), _same("doc_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*back())
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
