@@ -3,13 +3,16 @@
 A line is known by the 64-bit hash of its trimmed text. Lines that occur less often than ``MIN_SITES`` cannot
 have that spread; a plain count sets them aside. For the rest, HyperLogLog sketches of the sites, merged by
 aggregation, estimate the spread; lines within ``MARGIN`` of the threshold get an exact distinct count. Lines at
-or above it leave every text, unless they make up more than half of a text's characters: such a text is a copy,
-not a page with boilerplate, and stays whole (near-duplicate search deals with it). With ``linked_copies`` no share
-decides: only texts that near-duplicate search links to another row are copies. A group of copies then counts as
-one site; lines that still have the spread leave the copies too, and the lines of all other texts are cut always.
+or above it leave every text, however much of it they are.
 
-Null texts stay null; empty texts and blank lines stay as they are. Rows without a site add nothing to a spread.
-Repeated rows are treated alike. Other columns, whatever their names, are passed through.
+A text that many sites hold unchanged is a copy, which near-duplicate search deals with, and does not make its lines
+boilerplate: each different text counts once, for the first of its sites. With ``linked_copies`` the same holds for
+groups of texts that near-duplicate search links: a group counts as one site, and lines that have the spread only
+through such groups stay in the group's texts (they leave all others).
+
+Null texts stay null; empty texts and blank lines stay as they are. Rows without a site add nothing to a spread. Ties
+at the threshold count as boilerplate. Repeated rows are treated alike. Texts of any length are taken whole; an empty
+table gives no rows. Other columns, whatever their names, are passed through.
 """
 
 from __future__ import annotations
@@ -18,14 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import small, staged, table
+from .common import BROADCAST_BYTES, small, staged, table
 
 MIN_SITES = 10
 #: Sketches of 2^10 registers err by 3.2 % (one deviation); the margin is eight of them.
 LG_REGISTERS = 10
 MARGIN = 0.25
-#: Up to so many texts with boilerplate, their line numbers are broadcast (under 30 MB); beyond it, texts shuffle.
-BROADCAST_TEXTS = 200_000
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -39,66 +40,73 @@ def _keys(text: Column, *more: Column) -> list[Column]:
     return [F.xxhash64(*more, text).alias("__key"), F.hash(text).alias("__key2")]
 
 
-def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """Hashes ``h`` of the lines found on ``min_sites`` sites or more; ``lines`` has ``h`` and ``site``, staged."""
+def spread_lines(lines: DataFrame, min_sites: int, copies: DataFrame | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hashes ``h`` of the lines found on ``min_sites`` sites or more; ``lines`` has ``h`` and ``site``, staged.
+
+    ``copies`` (__key, __key2, one) names the site that all rows of a text count for.
+    """
     often = staged(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("h"), "lines-often")
-    left = lines.join(small(often), "h", "left_semi").filter(F.col("site").isNotNull()).select("h", "site")
+    left = lines.join(small(often, most), "h", "left_semi")
+    if copies is not None:
+        left = left.join(small(copies, most), ["__key", "__key2"], "left").withColumn("site", F.coalesce("one", "site"))
+    left = left.filter(F.col("site").isNotNull()).select("h", "site")
     spread = left.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_REGISTERS))).alias("about"))
     spread = staged(spread.filter(F.col("about") >= min_sites * (1 - MARGIN)), "lines-spread")
     sure = spread.filter(F.col("about") > min_sites * (1 + MARGIN)).select("h")
     near = spread.filter(F.col("about") <= min_sites * (1 + MARGIN)).select("h")
-    exact = left.join(small(near), "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("h")
+    exact = left.join(small(near, most), "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("h")
     return sure.unionByName(exact)
 
 
-def copied_places(docs: DataFrame, text: str, lines: DataFrame, cut: DataFrame, min_sites: int) -> DataFrame:
-    """(__key, __key2, __keep): of texts that are copies, the places of lines that spread by copying alone.
+def copied_places(docs: DataFrame, lines: DataFrame, cut: DataFrame, repeated: DataFrame, min_sites: int, most: int) -> DataFrame:
+    """(__key, __key2, __keep): of texts that are linked copies, the places of lines that spread by copying alone.
 
-    Copies are texts with lines to cut over half their characters that near-duplicate search (five words, 0.8) links
-    to another one, or that stand in more than one row. Each group of copies counts as one site.
+    Texts with lines to cut over half their characters are held against each other by near-duplicate search (five
+    words, 0.8); each group that it links counts as one site.
     """
-    whole = docs.select(*_keys(F.col(text)), F.col(text).alias("text"))
+    whole = docs.select(*_keys(F.col("text")), "text")
     size = F.aggregate("__cut", F.lit(0).cast("long"), lambda a, x: a + x["size"])
     much = staged(cut.select("__key", "__key2", size.alias("size")), "lines-much")
-    rows = whole.join(small(much), ["__key", "__key2"]).filter(F.col("size") * 2 > F.length("text"))
-    one = staged(rows.groupBy("__key", "__key2").agg(F.count(F.lit(1)).alias("rows"), F.first("text").alias("text")), "lines-whole")
+    rows = whole.join(small(much, most), ["__key", "__key2"]).filter(F.col("size") * 2 > F.length("text"))
+    one = staged(rows.groupBy("__key", "__key2").agg(F.first("text").alias("text")), "lines-whole")
     found = staged(jaccard.clusters(one.select(F.col("__key").alias("doc_id"), "text"), 5, 80, 100), "lines-groups")
-    member = one.select("__key", "__key2", "rows").join(found.select(F.col("doc_id").alias("__key"), F.col("keeper_id").alias("group")).distinct(), "__key")
-    groups = member.groupBy("group").agg(F.sum("rows").alias("n")).filter("n > 1").select("group")
-    member = staged(member.join(groups, "group").select("__key", "__key2", F.concat(F.lit("copies "), F.col("group").cast("string")).alias("group")), "lines-copies")
-    inside = lines.join(small(member), ["__key", "__key2"])
-    asked = staged(inside.select("h").distinct(), "lines-asked")
-    left = lines.join(small(asked), "h", "left_semi").join(small(member), ["__key", "__key2"], "left")
+    member = one.select("__key", "__key2").join(found.select(F.col("doc_id").alias("__key"), F.col("keeper_id").alias("group")).distinct(), "__key")
+    groups = member.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
     # no site has a name with this line feed
-    left = staged(left.select("h", F.when(F.col("group").isNotNull(), F.concat(F.lit("\n"), "group")).otherwise(F.col("site")).alias("site")).distinct(), "lines-units")
-    anyway = staged(spread_lines(left, min_sites), "lines-anyway")
-    return staged(inside.join(small(anyway), "h", "left_anti").groupBy("__key", "__key2").agg(F.collect_set("at").alias("__keep")), "lines-kept")
+    member = staged(member.join(groups, "group").select("__key", "__key2", F.concat(F.lit("\ncopies "), F.col("group").cast("string")).alias("one")), "lines-copies")
+    inside = lines.join(small(member.drop("one"), most), ["__key", "__key2"], "left_semi")
+    asked = staged(inside.select("h").distinct(), "lines-asked")
+    units = staged(repeated.join(member, ["__key", "__key2"], "left_anti").unionByName(member), "lines-units")
+    anyway = staged(spread_lines(lines.join(small(asked, most), "h", "left_semi"), min_sites, units, most), "lines-anyway")
+    return staged(inside.join(small(anyway, most), "h", "left_anti").groupBy("__key", "__key2").agg(F.collect_set("at").alias("__keep")), "lines-kept")
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, broadcast_texts: int = BROADCAST_TEXTS, linked_copies: bool = False) -> DataFrame:
-    """All rows and columns of ``docs`` with boilerplate lines cut from ``text``, and ``__removed``: how many."""
-    keyed = docs.select(*_keys(F.col(text)), F.col(site).cast("string").alias("site"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, linked_copies: bool = False, broadcast_bytes: int = BROADCAST_BYTES, removed: str = "__removed") -> DataFrame:
+    """All rows and columns of ``docs`` with boilerplate lines cut from ``text``, and how many as a last column."""
+    most = broadcast_bytes
+    plain = docs.toDF(*["text" if c == text else "site" if c == site else f"c{i}" for i, c in enumerate(docs.columns)])
+    keyed = plain.select(*_keys(F.col("text")), F.col("site").cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = keyed.select("__key", "__key2", "site", "at", F.length("line").alias("size"), _trimmed(F.col("line")).alias("line"))
     lines = staged(lines.filter(F.col("line") != "").select("__key", "__key2", "site", "at", "size", F.xxhash64("line").alias("h")), "lines")
-    common = staged(spread_lines(lines, min_sites), "lines-common")
+    # texts in several rows: the first of their sites stands for all
+    rows = plain.filter("text is not null").select(*_keys(F.col("text")), F.col("site").cast("string").alias("site"))
+    repeated = staged(rows.groupBy("__key", "__key2").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("one")).filter("n > 1 and one is not null").drop("n"), "lines-repeated")
+    common = staged(spread_lines(lines, min_sites, repeated, most), "lines-common")
     # one row for each different text that has such lines: copies meet before the shuffle, and the set of places
     # is no longer than the text
-    cut = lines.join(small(common), "h", "left_semi").groupBy("__key", "__key2").agg(F.collect_set(F.struct("at", "size")).alias("__cut"))
+    cut = lines.join(small(common, most), "h", "left_semi").groupBy("__key", "__key2").agg(F.collect_set(F.struct("at", "size")).alias("__cut"))
     cut = staged(cut, "lines-cut")
-    wide = docs.withColumns({"__key": _keys(F.col(text))[0], "__key2": _keys(F.col(text))[1]})
-    joined = wide.join(small(cut, broadcast_texts), ["__key", "__key2"], "left")
-    if linked_copies:
-        kept = copied_places(docs, text, lines, cut, min_sites)
-        joined = joined.join(small(kept, broadcast_texts), ["__key", "__key2"], "left")
-        rest_of = F.array_except(F.transform("__cut", lambda x: x["at"]), F.coalesce("__keep", F.array().cast("array<int>")))
-    much = F.aggregate("__cut", F.lit(0).cast("long"), lambda a, x: a + x["size"]) * 2 > F.length(text)
-    places = F.when(F.col("__cut").isNull() | much, F.array().cast("array<int>")).otherwise(F.transform("__cut", lambda x: x["at"]))
+    key, key2 = _keys(F.col("text"))
+    joined = plain.withColumns({"__key": key, "__key2": key2}).join(small(cut, most), ["__key", "__key2"], "left")
+    places = F.coalesce(F.transform("__cut", lambda x: x["at"]), F.array().cast("array<int>"))
     if linked_copies:
-        places = F.when(F.col("__cut").isNull(), F.array().cast("array<int>")).otherwise(rest_of)
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__places"), i)), "\n")
+        joined = joined.join(small(copied_places(plain, lines, cut, repeated, min_sites, most), most), ["__key", "__key2"], "left")
+        places = F.array_except(places, F.coalesce("__keep", F.array().cast("array<int>")))
+    # the places that stay, by one hashed difference; the lines are split once and picked by place
+    rest = F.transform(F.array(F.split("text", "\n")), lambda all_: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("__places")), lambda i: F.get(all_, i)), "\n"))[0]
     cleaned = joined.withColumn("__places", places).withColumn("__removed", F.size("__places").cast("long"))
-    cleaned = cleaned.withColumn(text, F.when(F.col("__removed") > 0, rest).otherwise(F.col(text)))
-    return cleaned.select(*docs.columns, "__removed")
+    cleaned = cleaned.withColumn("text", F.when(F.col("__removed") > 0, rest).otherwise(F.col("text")))
+    return cleaned.select(*plain.columns, "__removed").toDF(*docs.columns, removed)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -112,11 +120,12 @@ CLEANED_SQL = f"""
 d AS (SELECT row_number() OVER () AS r, * FROM {{docs}}),
 sp AS (SELECT r, string_split(text, chr(10)) AS a FROM d),
 li AS (SELECT r, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS line FROM sp),
-ln AS (SELECT li.*, trim(line, {_TRIM}) AS t, source FROM li JOIN d USING (r) WHERE trim(line, {_TRIM}) <> ''),
-boiler AS (SELECT t FROM ln GROUP BY t HAVING count(DISTINCT source) >= {MIN_SITES}),
-hit AS (SELECT r, list(pos) AS places, sum(length(line)) AS size FROM ln JOIN boiler USING (t) GROUP BY r),
-cleaned AS (SELECT d.r, CASE WHEN places IS NULL OR 2 * size > length(text) THEN 0 ELSE len(places) END AS n_removed,
-  CASE WHEN places IS NULL OR 2 * size > length(text) THEN text
+ln AS (SELECT li.*, trim(line, {_TRIM}) AS t FROM li WHERE trim(line, {_TRIM}) <> ''),
+copies AS (SELECT text, min(source) AS site FROM d GROUP BY text),
+boiler AS (SELECT t FROM ln JOIN d USING (r) JOIN copies USING (text) GROUP BY t HAVING count(DISTINCT site) >= {MIN_SITES}),
+hit AS (SELECT r, list(pos) AS places FROM ln JOIN boiler USING (t) GROUP BY r),
+cleaned AS (SELECT d.r, CASE WHEN places IS NULL THEN 0 ELSE len(places) END AS n_removed,
+  CASE WHEN places IS NULL THEN text
   ELSE array_to_string([a[i] for i in range(1, len(a) + 1) if NOT list_contains(places, i)], chr(10)) END AS text
   FROM d JOIN sp ON sp.r = d.r LEFT JOIN hit ON hit.r = d.r)
 """
