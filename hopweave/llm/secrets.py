@@ -9,7 +9,8 @@ proportion to its length. The stretch covered by windows above the class's thres
 ``entropy``, unless the allow-list suppresses it; stretches that overlap are one span.
 
 Positions are code points, ends exclusive. A null text counts as empty and an empty text has no spans. Repeated
-rows give equal rows. Texts of any length are scanned whole.
+rows give equal rows; a window with exactly the threshold's bits does not count. Texts of any length are scanned whole.
+Other columns, whatever their names, are passed through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -65,13 +66,16 @@ def known_spans(text: str) -> list[Span]:
     return found
 
 
-_TERM = [0.0] + [c / WINDOW * math.log2(c / WINDOW) for c in range(1, WINDOW + 1)]
+#: c log2 c of every count a window can have, as whole numbers: sums depend on the window alone, not on what was before.
+_SCALE = 1 << 32
+_TERM = [0] + [round(c * math.log2(c) * _SCALE) for c in range(1, WINDOW + 1)]
 
 
 def entropy_stretch(run: str, bits: float) -> tuple[int, int] | None:
     """Start and end of what the windows above ``bits`` cover, from the first to the last; None without any."""
     counts: dict[str, int] = {}
-    total = 0.0  # the sum of p log p over the window
+    limit = math.floor(WINDOW * (math.log2(WINDOW) - bits) * _SCALE)
+    total = 0  # the sum of c log c over the window: the entropy is log WINDOW less a WINDOW-th of it
     first = last = -1
     for at, c in enumerate(run):
         if at >= WINDOW:
@@ -82,7 +86,7 @@ def entropy_stretch(run: str, bits: float) -> tuple[int, int] | None:
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += _TERM[n + 1] - _TERM[n]
-        if at >= WINDOW - 1 and -total > bits:
+        if at >= WINDOW - 1 and total < limit:
             first = at - WINDOW + 1 if first < 0 else first
             last = at + 1
     return None if first < 0 else (first, last)
