@@ -9,8 +9,9 @@ at most ``SAMPLE_ROWS`` labelled URLs (those of the lowest hash; the documented
 no level shuffles. The finished trees are one CASE expression inside the scan's stage.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged on its (empty)
-features. Repeated rows get equal results; two rules of equal length cannot both fit. Without labelled URLs, or
-with labels of one kind only, the share of blocked labels decides (none: allow).
+features. Repeated rows get equal results; two rules of equal length cannot both fit; a score of one half blocks.
+Without labelled URLs, or with labels of one kind only, the share of blocked labels decides (none: allow). URLs of any
+length are judged whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -203,20 +204,26 @@ def root_open(root: Node, n: int) -> Column:
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample_rows: int = SAMPLE_ROWS, url: str = "url") -> DataFrame:
     """All columns of ``pages`` with host, path, rule, ``score`` (the trees' chance of block) and verdict; columns of
     these names are replaced, others of any name stay."""
-    plain, back = shielded(pages.drop("host", "path", "rule", "score", "verdict"), [url])
-    urls = with_rule(with_host_path(plain, url), rules)
-    wide = with_features(urls, url)
-    labelled = wide.filter(F.col("rule").isNotNull()).withColumn("y", (F.col("rule_verdict") == "block").cast("int"))
+    pages = pages.drop("host", "path", "rule", "score", "verdict")
+    plain, back = shielded(pages, [url])
+    if url != "__url":
+        plain = plain.withColumnRenamed(url, "__url")
+    wide = with_features(with_rule(with_host_path(plain, "__url"), rules), "__url")
+    # the features are made once for all that is learnt; the trees' sample is the only row-wise use of them
+    labelled = wide.filter(F.col("rule").isNotNull()).select("__url", "tld", "extension", *[f for f in FEATURES if f not in ("f_tld", "f_extension")], (F.col("rule_verdict") == "block").cast("int").alias("y"))
+    labelled = staged(labelled, "url-labelled")
+    every = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked")).first()
+    share = every["blocked"] / every["n"] if every["n"] else 0.0
+    sample = labelled.orderBy(F.xxhash64("__url"), "__url").limit(sample_rows)
     for suffix in ("tld", "extension"):
-        every = labelled.agg(F.avg("y").alias("share"))
-        rate = F.floor(1000 * (F.sum("y") + PRIOR * F.coalesce(F.first("share"), F.lit(0.0))) / (F.count(F.lit(1)) + PRIOR)).cast("int")
-        stats = staged(labelled.select(suffix, "y").crossJoin(F.broadcast(every)).groupBy(suffix).agg(rate.alias(f"f_{suffix}")), f"url-{suffix}")  # one row
-        wide = wide.join(small(stats, 100_000), suffix, "left").fillna({f"f_{suffix}": 500})
-        labelled = labelled.join(small(stats, 100_000), suffix, "left")
-    sample = labelled.select(*FEATURES, "y", F.col(url).alias("__url")).orderBy(F.xxhash64("__url"), "__url").limit(sample_rows)
+        rate = F.floor(1000 * (F.sum("y") + PRIOR * F.lit(share)) / (F.count(F.lit(1)) + PRIOR)).cast("int")
+        stats = small(staged(labelled.groupBy(suffix).agg(rate.alias(f"f_{suffix}")), f"url-{suffix}"))
+        wide = wide.join(stats, suffix, "left").fillna({f"f_{suffix}": 500})
+        sample = sample.join(stats, suffix, "left")
     model = fit(sample.select(*FEATURES, "y"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return wide.withColumn("score", model.probability()).select(*back(), "host", "path", "rule", "score", verdict.alias("verdict"))
+    out = wide.withColumn("score", model.probability()).withColumn("verdict", verdict).withColumnRenamed("__url", url)
+    return out.select(*back(), "host", "path", "rule", "score", "verdict")
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
