@@ -1,15 +1,22 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its distinct lower-cased words and the stems (first letters) of longer words, hashed into a
-fixed table. Terms that lean to neither label in the sample (``LEAST_ROWS``, ``LEAST_Z``) are left out: a text of
-thousands of words holds thousands of pairs, and those of chance terms would drown the rest. The score is ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)`` over the terms that occur, so that a
-pair of terms, such as an insult beside the mention of a group, weighs more or less than its parts.
+fixed table. The score is ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)`` over the terms that occur, so that a pair of
+terms, such as an insult beside the mention of a group, weighs more than its parts.
+
+A text of thousands of words holds millions of pairs, and those of chance terms would drown the rest (README has
+figures), so the machine works on terms that tell something in the sample: those that lean to a label by themselves
+(``LEAST_ROWS``, ``LEAST_Z``), and those that do so in a pair, however neutral alone. For the latter, the joint counts
+of the ``PAIR_TERMS`` commonest terms, and of all that lean, are held against what two separate weights would predict
+(``PAIR_ROWS``, ``PAIR_Z``).
 
 It is fitted by mini-batch AdaGrad on the driver, on at most ``SAMPLE_ROWS`` labelled rows that are not held
 out (the documented bound; about 2 KB of term numbers each). Scoring covers every row and every whole text.
 
 A null or empty text has no terms and gets the score of the intercept alone. Repeated rows get equal scores. If
-no labels are known, or only one kind, every score is the share of toxic labels (0.0 without labels).
+no labels are known, or only one kind, every score is the share of toxic labels (0.0 without labels). A score that
+equals the threshold counts as toxic. Other columns, whatever their names, are passed through; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, label_sample, map_text, small, staged, table
+from .common import filter_text, held_out, label_sample, map_text, staged, table
 
 SAMPLE_ROWS = 12_000
 TABLE_BITS = 18
@@ -33,6 +40,11 @@ THRESHOLD = 0.5
 #: A term is used if it is in so many sampled rows, and its toxic rows exceed the expected ones by so many deviations.
 LEAST_ROWS = 3
 LEAST_Z = 4.0
+#: Pairs of which so many of the commonest terms are looked at, the rows that must hold both, and by how many deviations
+#: their toxic rows must exceed what the terms' own shares predict (so many pairs are looked at that five happen).
+PAIR_TERMS = 1_500
+PAIR_ROWS = 20
+PAIR_Z = 7.0
 #: Words whose terms a task keeps; the store is emptied when full.
 KEPT_WORDS = 300_000
 
@@ -76,7 +88,38 @@ class FactorizationMachine:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(terms), -30.0, 30.0))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+def joint_terms(rows: list[np.ndarray], y: np.ndarray, rows_of: np.ndarray, toxic_of: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Whether a term stands in a pair that is toxic far more often than its two terms' shares predict."""
+    out = np.zeros(len(rows_of), bool)
+    common = np.argsort(-rows_of, kind="stable")[:PAIR_TERMS]
+    names = np.unique(np.concatenate([common[rows_of[common] >= PAIR_ROWS], np.flatnonzero(used & (rows_of >= PAIR_ROWS))]))
+    if len(names) < 2:
+        return out
+    place = np.full(len(rows_of), -1, np.int32)
+    place[names] = np.arange(len(names))
+    both = np.zeros((2, len(names), len(names)), np.float32)  # rows that hold both terms: not toxic, toxic
+    for kind in (0, 1):
+        of = np.flatnonzero((y > 0) == bool(kind))
+        for at in range(0, len(of), 1024):
+            block = np.zeros((min(1024, len(of) - at), len(names)), np.float32)
+            for i, k in enumerate(of[at : at + 1024]):
+                hit = place[rows[k]]
+                block[i, hit[hit >= 0]] = 1.0
+            both[kind] += block.T @ block
+    n, share = both[0] + both[1], float(y.mean())
+    logit = lambda p: np.log(p) - np.log1p(-p)
+    own = logit((toxic_of[names] + share) / (rows_of[names] + 1.0))
+    expected = 1.0 / (1.0 + np.exp(-(own[:, None] + own[None, :] - logit(share))))
+    # a pair is never expected to be rarer toxic than either of its terms
+    expected = np.maximum(expected, (toxic_of[names] / rows_of[names])[:, None])
+    expected = np.maximum(expected, expected.T)
+    z = (both[1] - n * expected) / np.sqrt(np.maximum(n * expected * (1.0 - expected), 1e-9))
+    np.fill_diagonal(z, 0.0)
+    out[names[((n >= PAIR_ROWS) & (z >= PAIR_Z)).any(1)]] = True
+    return out
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
     """Logistic loss, AdaGrad, L2 decay; the two labels weigh alike up to a factor of three."""
     size = 1 << TABLE_BITS
     rng = np.random.default_rng(seed)
@@ -93,6 +136,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 25
     toxic_of = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t > 0]), minlength=size)
     z = np.abs(toxic_of - rows_of * share) / np.sqrt(np.maximum(rows_of, 1) * share * (1.0 - share))
     used = (rows_of >= LEAST_ROWS) & (z >= LEAST_Z)
+    used |= joint_terms(rows, y, rows_of, toxic_of, used)
     rows = [r[used[r]] for r in rows]
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -155,13 +199,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     model = train(docs, labels, sample_rows)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def make():
         fm, terms = shipped.value, Terms()
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array([fm.score(terms(t.as_py())) < threshold for t in column], type=pa.bool_()))
+        return lambda t: fm.score(terms(t)) < threshold
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_text(docs, make)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
