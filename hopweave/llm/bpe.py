@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding in linear time.
 
 A text is cut by the tokenizer's pattern; each match is encoded on its own. Bytes are mapped to Latin-1
-characters so that one Aho-Corasick automaton (pyahocorasick) over the whole vocabulary finds, for every
-end position, the tokens that end there. The encoding of a prefix is unique, so each prefix needs only its
-last token: the candidates are tried from the longest down, and one is right exactly if the token before it
-(the last token of the prefix that is left) may stand beside it. Whether two tokens may stand side by side is
-decided by undoing merges, and memoised per pair. The result equals that of applying the merges in rank order.
+characters, so that pyahocorasick's trie over the whole vocabulary finds the longest token at a place. From there the
+match is encoded by backtracking: the longest token that may stand beside the one before it is taken; where none may,
+the one before gives way to its next shorter one, and its end is closed for good. Whether two tokens may stand side by
+side is decided by undoing merges, and memoised per pair. The encoding of a prefix is unique, so each place is closed
+at most once and time is linear. The result equals that of applying the merges in rank order.
 
 Nulls and empty texts give no tokens and the digest of no bytes. Repeated rows give equal rows; other columns
 of the input are left alone.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import map_text
+from .common import map_text, parts, quoted
 
 #: Matches whose encoding a task keeps; the store is emptied when full, so memory stays bounded.
 KEPT_MATCHES = 400_000
@@ -60,9 +60,17 @@ class Codec:
                 continue  # no sequence of merges makes this token; it only stands for a whole match
             reachable.append((token, rank))
         self.automaton = ahocorasick.Automaton()
-        for token, rank in reachable:
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.automaton.make_automaton()
+        known = {token.decode("latin-1"): rank for token, rank in reachable}
+        for name in known:
+            self.automaton.add_word(name, True)
+        # of every beginning of a token, the longest token that it begins with; of every token, the next shorter one
+        self.of: dict[str, int | None] = {"": None}
+        for name in sorted(known, key=len):
+            for n in range(1, len(name) + 1):
+                if name[:n] not in self.of:
+                    self.of[name[:n]] = known.get(name[:n], self.of[name[: n - 1]])
+        self.shorter = {rank: self.of[name[:-1]] for name, rank in known.items()}
+        self.reach = max(map(len, known), default=0)
         self.beside: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
 
@@ -103,25 +111,39 @@ class Codec:
                 return True
 
     def encode_match(self, data: bytes) -> list[int]:
+        """Longest match first; where no token may follow the last one, that one gives way to its next shorter one.
+
+        An end position is given up at most once: the encoding of a prefix is unique, so if no token fits behind it
+        with one last token, it is no border of the encoding. So time is linear, however often tokens are taken back.
+        """
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        last = [-1] * (len(data) + 1)  # of each prefix, the last token
-        beside = self.beside
-        for at, (rank, length) in self.automaton.iter(data.decode("latin-1")):  # at one end: the longest first
-            if last[at + 1] < 0:
-                before = at + 1 - length
-                if not before:
-                    last[at + 1] = rank
-                elif (left := last[before]) >= 0:
-                    known = beside.get(left << 32 | rank)
-                    if self.fits(left, rank) if known is None else known:
-                        last[at + 1] = rank
-        ids, at = [], len(data)
-        while at:
-            ids.append(last[at])
-            at -= len(self.token[last[at]])
-        return ids[::-1]
+        text, longest, shorter, token, fits = data.decode("latin-1"), self.longest, self.shorter, self.token, self.fits
+        end, at, ids, closed = len(data), 0, [], set()
+        rank = longest(text, 0)
+        while at < end:
+            while rank is not None:
+                after = at + len(token[rank])
+                if after not in closed and (not ids or fits(ids[-1], rank)):
+                    break
+                rank = shorter[rank]
+            else:
+                # nothing stands here: this border is none, and the token before gives way
+                closed.add(at)
+                rank = ids.pop()
+                at -= len(token[rank])
+                rank = shorter[rank]
+                continue
+            ids.append(rank)
+            at = after
+            rank = longest(text, at) if at < end else None
+        return ids
+
+    def longest(self, text: str, at: int) -> int | None:
+        """The longest token that stands at a place (every single byte is one)."""
+        key = text[at : at + self.reach]
+        return self.of[key[: self.automaton.longest_prefix(key)]]
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -176,19 +198,19 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text:
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """The text of each row's ``ids``, by a lookup in the vocabulary; other columns stay."""
+    """The text of each row's ``ids``, by a lookup in the vocabulary; a column named ``out`` is replaced, others stay."""
     shipped = df.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_ranks(ranks_path).items()})
-    schema = StructType([f for f in df.schema.fields if f.name != out] + [StructField(out, StringType())])
+    kept = [c for c in df.columns if c != out]
+    plain = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], F.col(quoted(ids)).alias("ids"))
+    schema = StructType([*plain.schema.fields[:-1], StructField("text", StringType())])
 
     def run(batches):
         token = shipped.value
-        for batch in batches:
-            texts = pa.array([None if row is None else b"".join(map(token.__getitem__, row)).decode("utf-8", "replace") for row in batch.column(batch.schema.get_field_index(ids)).to_pylist()], type=pa.string())
-            rest = [n for n in batch.schema.names if n != out]
-            columns = {**{n: batch.column(batch.schema.get_field_index(n)) for n in rest}, out: texts}
-            yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema.fields], names=[f.name for f in schema.fields])
+        for batch in parts(batches):
+            texts = pa.array([None if row is None else b"".join(map(token.__getitem__, row)).decode("utf-8", "replace") for row in batch.column(len(kept)).to_pylist()], type=pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, out)
 
 
 def token_digests(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
