@@ -55,12 +55,53 @@ def test_interaction_is_learnt():
         a, b = rng.random() < 0.5, rng.random() < 0.5
         rows.append(np.array([5] * a + [6] * b + list(rng.integers(100, 200, 5)), dtype=np.int32))
         y.append(float(a and b))
-    model = toxicity.fit(rows, np.array(y), epochs=30)
+    model = toxicity.fit(rows, np.array(y))
     score = lambda *t: model.score(np.array(t, dtype=np.int32))
     assert score(5, 6) > 0.5 > max(score(5), score(6), score())
     assert float(model.factors[5] @ model.factors[6]) > 0
 
 
+def test_pair_of_neutral_terms_is_learnt():
+    """Each of the two terms alone, and beside the other's absence, is as toxic as any text or less; together they are."""
+    rng = np.random.default_rng(6)
+    rows, y = [], []
+    for _ in range(6000):
+        a, b = rng.random() < 0.3, rng.random() < 0.3
+        share = 0.5 if a and b else 0.0714 if a or b else 0.255
+        rows.append(np.array([5] * a + [6] * b + list(set(rng.integers(100, 200, 5))), dtype=np.int32))
+        y.append(float(rng.random() < share))
+    y = np.array(y)
+    size = 1 << toxicity.TABLE_BITS
+    rows_of = np.bincount(np.concatenate(rows), minlength=size)
+    toxic_of = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t]), minlength=size)
+    z = np.abs(toxic_of - rows_of * y.mean()) / np.sqrt(np.maximum(rows_of, 1) * y.mean() * (1 - y.mean()))
+    assert max(z[5], z[6]) < toxicity.LEAST_Z
+    assert set(np.flatnonzero(toxicity.joint_terms(rows, y, rows_of, toxic_of, np.zeros(size, bool)))) == {5, 6}
+    model = toxicity.fit(rows, y)
+    score = lambda *t: model.score(np.array(t, dtype=np.int32))
+    assert score(5, 6) > 0.6 > 0.35 > max(score(5), score(6))
+
+
+def test_machine_equals_the_double_sum(labelled):
+    """Scores of the table, recomputed in plain Python from words, hashes and the sum over all pairs."""
+    import math
+    import re
+    from zlib import crc32
+
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs.filter("doc_id % 9 = 0 or doc_id >= 900"), model, ["doc_id"]).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, s in scored.items():
+        names = set()
+        for w in re.findall(r"[^\W\d_]+", (texts[i] or "").lower()):
+            names |= {w} | {w[:k] + "*" for k in toxicity.STEM_LETTERS if len(w) > k}
+        t = sorted({crc32(n.encode()) % 2**toxicity.TABLE_BITS for n in names})
+        raw = model.bias + sum(float(model.weights[a]) for a in t)
+        raw += sum(float(model.factors[a] @ model.factors[b]) for k, a in enumerate(t) for b in t[:k] if model.factors[a].any() and model.factors[b].any())
+        assert abs(s - 1 / (1 + math.exp(-max(-30.0, min(30.0, raw))))) < 1e-4
+
+
 def test_toxicity_without_labels(labelled, spark):
     docs, labels = labelled
     none = toxicity.train(docs, labels.limit(0))
@@ -78,6 +119,34 @@ def test_quality(labelled):
     assert quality.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_quality_scores_recomputed(labelled):
+    """Scores of the table from the features, one by one; the fit's slope is that of the pairwise loss."""
+    import math
+
+    docs, labels = labelled
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.score(docs, model, ["doc_id"]).collect():
+        raw = 0.0
+        for x, m, s, w in zip(quality.features(texts[r["doc_id"]]), model.mean, model.spread, model.weights, strict=True):
+            raw += max(-6.0, min(6.0, (x - m) / s)) * w
+        at = raw - model.cut + math.log(quality.THRESHOLD / (1 - quality.THRESHOLD)) + 1e-9
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, at))))) < 1e-9
+    x = np.random.default_rng(2).normal(size=(60, len(quality.FEATURES)))
+    y = (x[:, 0] - x[:, 3] + np.random.default_rng(3).normal(size=60) > 0).astype(int)
+    fitted = quality.fit(x, y, pairs_per_row=3)
+    z = np.clip((x - fitted.mean) / fitted.spread, -6, 6)
+    rng = np.random.default_rng(11)
+    rarer, other = sorted((np.flatnonzero(y == 1), np.flatnonzero(y == 0)), key=len)
+    one, two = np.repeat(rarer, 3), rng.choice(other, len(rarer) * 3)
+    pairs = list(zip(one, two)) if y[rarer[0]] else list(zip(two, one))
+    loss = lambda w: sum(math.log1p(math.exp(-float((z[a] - z[b]) @ w))) for a, b in pairs) / len(pairs) + 0.005 * float(w @ w)
+    least = loss(fitted.weights)
+    for k in range(len(fitted.weights)):
+        for step in (-0.05, 0.05):
+            assert loss(fitted.weights + step * (np.arange(len(fitted.weights)) == k)) > least
+
+
 def test_quality_without_labels(labelled):
     docs, labels = labelled
     model = quality.train(docs, labels.limit(0))
@@ -119,3 +188,44 @@ def test_urls(spark):
     assert agree > 0.9
     assert urls.judged(pages.limit(0)).count() == 0
     assert {r["verdict"] for r in urls.judged(pages, rules=(("nowhere/", "block"),)).collect()} == {"allow"}
+
+
+def test_url_features_and_trees_by_hand(spark):
+    """Features and leaf sums recomputed in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    every = ["https://a-b.example.net/x/y1.html?q=1&r=2#top", "http://www.example.org/fr/", "s://h/" + "z9" * 4000, "", None, "no scheme", "x://ü.net/%20_-"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(every)], "i long, url string")
+    for r in urls.with_features(urls.with_host_path(df), "url").collect():
+        u, host, path = every[r["i"]] or "", r["host"], r["path"]
+        n = len(u)
+        bits = -sum(c / n * math.log2(c / n) for c in Counter(u).values()) if n else 0.0
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        assert (r["f_length"], r["f_host_length"], r["f_labels"], r["f_depth"]) == (n, len(host), host.count("."), path.count("/"))
+        assert r["f_digits"] == (1000 * len(re.findall("[0-9]", u)) // n if n else 0) and r["f_letters"] == (1000 * len(re.findall("[A-Za-z]", u)) // n if n else 0)
+        assert abs(r["f_entropy"] - 100 * bits) <= 1 and (r["f_params"], r["f_fragment"]) == (query.count("=") + query.count("&"), int("#" in u))
+        assert r["f_hyphens"] == u.count("-") + u.count("_") and r["tld"] == host.rpartition(".")[2]
+    rng = random.Random(7)
+    rows = [tuple(rng.randrange(6) for _ in urls.FEATURES) for _ in range(300)]
+    rows = [(*x, int((x[0] > 2) != (x[3] > 3))) for x in rows]
+    model = urls.fit(spark.createDataFrame(rows, ", ".join(f"{f} int" for f in urls.FEATURES) + ", y int"), trees=3, depth=2)
+    margins = [model.bias] * len(rows)
+
+    def leaf(node, x):
+        while node.low is not None:
+            node = node.low if x[urls.FEATURES.index(node.feature)] <= node.at else node.high
+        return node
+
+    for tree in model.trees:
+        sums = {}
+        for m, x in zip(margins, rows, strict=True):
+            p = 1 / (1 + math.exp(-m))
+            s = sums.setdefault(id(leaf(tree, x)), [0.0, 0.0])
+            s[0], s[1] = s[0] + p - x[-1], s[1] + p * (1 - p)
+        for x in rows:
+            g, h = sums[id(leaf(tree, x))]
+            assert abs(leaf(tree, x).value + urls.RATE * g / (h + urls.RIDGE)) < 1e-9
+        margins = [m + leaf(tree, x).value for m, x in zip(margins, rows, strict=True)]
+    assert np.mean([(m > 0) == (x[-1] == 1) for m, x in zip(margins, rows, strict=True)]) > 0.9

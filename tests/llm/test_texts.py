@@ -56,7 +56,81 @@ def test_recall_on_random_keys():
             assert missed <= 35, (letters, size, missed)
 
 
-def test_secret_tables(documents, empty):
+def slow_spans(text):
+    """Every span, by the definitions: each window's entropy is computed afresh."""
+    import math
+
+    found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A | re.I) if len(m[2]) >= 6]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    inside = {i for _, s, e in found for i in range(s, e)}
+    token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    w = secrets.WINDOW
+
+    def runs(chars, text, skip=()):
+        at = 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in chars and end not in skip:
+                end += 1
+            if end - at >= w:
+                yield at, end
+            at = max(end, at + 1)
+
+    def bits(run):
+        lower, upper, digit = any(c.islower() for c in run), any(c.isupper() for c in run), any(c.isdigit() for c in run)
+        if set(run) <= set("0123456789abcdef") or set(run) <= set("0123456789ABCDEF"):
+            return secrets.HEX_BITS
+        if run.isalnum() and digit and not (lower and upper):
+            return secrets.SINGLE_BITS
+        if digit and lower and upper:
+            return secrets.MIXED_BITS
+        return secrets.ALNUM_BITS if run.isalnum() else secrets.BASE64_BITS
+
+    def stretch(run, at):
+        h = [-sum(c / w * math.log2(c / w) for c in Counter(run[i : i + w]).values()) for i in range(len(run) - w + 1)]
+        above = [i for i, x in enumerate(h) if x > bits(run) + 1e-9]
+        return [(at + above[0], at + above[-1] + w)] if above else []
+
+    allowed = lambda x: any(re.fullmatch(a, x) for a in secrets.ALLOWED)
+    for s, e in runs(token, text, inside):
+        run = text[s:e]
+        if allowed(run):
+            continue
+        each = stretch(run, s)
+        for a, b in runs(token - set("+/_=-"), run):
+            if (a, b) != (0, len(run)) and not allowed(run[a:b]):
+                each += stretch(run[a:b], s + a)
+        covered = set()
+        for a, b in each:
+            covered |= set(range(a, b - 1))  # stretches that only touch stay two
+        for i in sorted(covered):
+            if i - 1 not in covered:
+                end = i
+                while end in covered:
+                    end += 1
+                found.append(("entropy", i, end + 1))
+    return sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_secret_tables(spark, documents, empty):
+    import hashlib
+
+    rng = random.Random(12)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    make = [lambda: draw(wide, rng.randrange(15, 60)), lambda: "token = " + draw(wide, 30), lambda: "AKIA" + draw("ABCDE0123", rng.randrange(10, 30)), lambda: draw("0123456789abcdef", rng.randrange(18, 60)), lambda: "plain words here", lambda: "a_long/" * rng.randrange(5), lambda: draw("ab1", 40), lambda: draw("ABCDEFGHIJ0123456789", 30), lambda: "ünï – 漢字"]
+    rows = [(i, "".join(rng.choice(make)() + rng.choice([" ", "/", "-", "\n", ""]) for _ in range(rng.randrange(1, 8)))) for i in range(400)] + [(400, None), (401, ""), (402, draw(wide, 3000)), (403, "x" * 50000), (0, "AKIA")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    joined = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    expected = []
+    for i, t in rows:
+        spans = slow_spans(t or "")
+        base = [x for x in spans if x[0] != "entropy"]
+        expected.append((i, *[sum(k == x[0] for x in base) for k in secrets.KINDS[:3]], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+    got = sorted(tuple(r) for r in secrets.secret_digests(df, ["doc_id"]).collect())
+    assert got == sorted(expected)
+    assert sum("entropy" in x[5] for x in got) > 100
     assert secrets.secret_digests(documents, ["doc_id"]).count() == documents.count()
     assert secrets.find_secrets(empty, ["doc_id"]).count() == 0
 
@@ -110,26 +184,30 @@ def test_lines(spark, empty):
             own.append(near)
         rows.append((i, site, "\n".join(own)))
     rows += [(300, "s1", spread), (301, "s1", None), (302, "s2", ""), (303, "s2", f"\n\n{spread}\n" + "long tail " * 20), (0, "s0", rows[0][2])]
+    rows += [(400 + i, f"s{i}", "a copy on many sites\nand its other line") for i in range(30)]
+    rows += [(500, "s1", "subscribe now\nshort"), (501, None, "subscribe now")] + [(510 + i, f"s{i}", f"subscribe now\npage {i} " + "long " * 9) for i in range(11)]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, source string, text string, h int, line string")
-    sites = {}
+    first, sites = {}, {}
     for _, s, t in rows:
-        for x in (t or "").split("\n"):
-            if x.strip() and s:
+        if t is not None and s:
+            first[t] = min(s, first.get(t, s))
+    for t, s in first.items():
+        for x in t.split("\n"):
+            if x.strip():
                 sites.setdefault(x.strip(), set()).add(s)
     common = {x for x, s in sites.items() if len(s) >= lines.MIN_SITES}
-    assert common == {spread}
+    assert common == {spread, "subscribe now"}
 
     def clean(t):
         if t is None:
             return None
-        ls = t.split("\n")
-        cut = [x for x in ls if x.strip() in common]
-        return t if not cut or 2 * sum(map(len, cut)) > len(t) else "\n".join(x for x in ls if x.strip() not in common)
+        return "\n".join(x for x in t.split("\n") if x.strip() not in common)
 
     expected = sorted((i, clean(t) or "") for i, _, t in rows)
-    for bound in (lines.BROADCAST_TEXTS, 0):
-        out = lines.without_boilerplate(df, broadcast_texts=bound)
+    for bound in (lines.BROADCAST_BYTES, 0):
+        out = lines.without_boilerplate(df, broadcast_bytes=bound)
         assert out.columns == [*df.columns, "__removed"]
+        assert {r["doc_id"]: (r["text"], r["__removed"]) for r in out.collect()}[500] == ("short", 1)
         assert sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == expected
     assert lines.without_boilerplate(empty).count() == 0
 
@@ -149,32 +227,76 @@ def test_lines_leave_every_text_but_copies(spark):
     assert out[300] == "" and out[301] is None and len(out) == len(rows)
 
 
-def test_quotes(spark):
+def same_as_sql(df, sql, table, tmp_path, name):
+    """Whether a query's rows are those of its SQL over ``table``, a list of (name, DataFrame)."""
+    import duckdb
+
+    con = duckdb.connect()
+    for n, t in table:
+        t.write.parquet(str(tmp_path / n))
+        con.execute(f"create view {n} as select * from '{tmp_path / n}/*.parquet'")
+    out = str(tmp_path / name)
+    df.write.parquet(out)
+    con.execute(f"create table o as {sql}")
+    cols = ", ".join(c[0] for c in con.execute("describe o").fetchall())
+    found = f"'{out}/*.parquet'"
+    return [con.execute(f"select count(*) from (select {cols} from {a} except all select {cols} from {b})").fetchone()[0] for a, b in (("o", found), (found, "o"))] == [0, 0]
+
+
+def test_quotes(spark, tmp_path):
     rows = [
-        (1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> How are you?\nFine, thanks."), (1, 2, "u", "> > How are you?\n> Fine, thanks.\nGood to hear"),
-        (1, 3, "a", "On Monday X wrote:\n> hello  THERE.\n> How are you?\nlate answer"), (1, 4, "u", ">not known\nx"), (1, 5, "u", "> good TO hear"),
-        (2, 0, "u", None), (2, 1, "u", ""), (2, 1, "u", "> a"), (None, 1, "u", "> Hello"), (3, None, "u", "z"), (1, 2, "u", "> > How are you?\n> Fine, thanks.\nGood to hear"),
+        (1, 0, "u", "Hello there.\nHow are you today?"), (1, 1, "a", "> How are you today?\nFine, thanks."), (1, 2, "u", "> > How are you today?\n> Fine, thanks.\nGood to hear"),
+        (1, 3, "a", "On Monday X wrote:\n> hello  THERE.\n> How are you today?\nlate answer"), (1, 4, "u", ">not known\nx"), (1, 5, "u", "> good TO hear"),
+        (2, 0, "u", None), (2, 1, "u", ""), (2, 1, "u", "> a"), (None, 1, "u", "> Hello"), (3, None, "u", "z"), (1, 2, "u", "> > How are you today?\n> Fine, thanks.\nGood to hear"),
+        (4, 0, "u", "Shall we meet?\nyes"), (4, 1, "a", "> yes\nwhere?"), (4, 2, "u", "yes"), (4, 3, "a", "> yes\nthen now"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {(r["conv_id"], r["turn"]): r for r in quotes.unquoted(df.withColumn("level", F.lit(1))).collect()}
+    out = {(r["conv_id"], r["turn"]): r for r in quotes.unquoted(df.withColumn("level", F.lit(1)).withColumn("body", F.lit("old"))).collect()}
     place = lambda t: (out[1, t]["reply_to_turn"], out[1, t]["thread_turn"], out[1, t]["depth"], out[1, t]["max_level"], out[1, t]["body"])
     assert place(1) == (0, 0, 1, 1, "Fine, thanks.")
     assert place(2) == (1, 0, 2, 2, "Good to hear")
     assert place(3) == (0, 0, 1, 1, "late answer")
     assert place(4) == (None, 4, 0, 1, "x")
     assert place(5) == (2, 0, 3, 1, "")
+    # a short quote links to no line of a message, but to a message that consists of it
+    assert (out[4, 1]["reply_to_turn"], out[4, 3]["reply_to_turn"]) == (None, 2)
     assert quotes.unquoted(df).count() == len(rows)
-    assert [r["turn"] for r in quotes.conversations(df.filter("conv_id = 1")).collect()] == [0, 1, 2, 2, 3, 5, 4]
+    # what follows from the first reply stands before the next reply
+    assert [r["turn"] for r in quotes.conversations(df.filter("conv_id = 1")).collect()] == [0, 1, 2, 2, 5, 3, 4]
     assert quotes.unquoted(df.limit(0)).count() == 0
+    assert same_as_sql(quotes.unquoted(df).select("conv_id", "turn", "role", *quotes.RESULTS), quotes.ORACLE, [("conversations", df)], tmp_path, "out")
+
+
+def test_quotes_equal_sql_on_random_conversations(spark, tmp_path, monkeypatch):
+    """Trees of replies with nested, partial, repeated and altered quotes; runs of a few turns."""
+    monkeypatch.setattr(quotes, "TURNS", 4)
+    rng = random.Random(11)
+    say = lambda: "\n".join(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "so", "yes"]) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 4)))
+    rows = []
+    for conv in range(6):
+        texts = []
+        for turn in range(40):
+            text = say()
+            if texts and rng.random() < 0.8:
+                lines = rng.choice(texts[-6:]).split("\n")
+                cut = lines[: rng.randrange(1, len(lines) + 1)] if rng.random() < 0.5 else lines
+                text = "\n".join(["> " + x.upper() if rng.random() < 0.2 else "> " + x for x in cut] + [text])
+            texts.append(text)
+            rows.append((conv, turn, "u", text))
+    rows += rows[5:9] + [(0, 100, "u", "> " + "\n> ".join(["long line of many words"] * 5000)), (7, 0, "a", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    found = quotes.unquoted(df)
+    assert found.filter("reply_to_turn is not null").count() > 100 and found.agg(F.max("depth")).first()[0] > 3
+    assert same_as_sql(found.select("conv_id", "turn", "role", *quotes.RESULTS), quotes.ORACLE, [("conversations", df)], tmp_path, "out")
 
 
 def test_long_reply_chain(spark):
     n = 70
     rows = [(1, i, "u", (f"> message number {i - 1}\n" if i else "") + f"message number {i}") for i in range(n)]
-    rows += [(2, i, "u", "> same words\nsame words") for i in range(300)]  # one passage that all share
+    rows += [(2, i, "u", "> the same words\nthe same words") for i in range(300)]  # one passage that all share
     out = {(r["conv_id"], r["turn"]): r for r in quotes.unquoted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert all(out[1, i]["thread_turn"] == 0 and out[1, i]["depth"] == i for i in range(n))
-    assert all(out[2, i]["reply_to_turn"] == (0 if i else None) for i in range(300))
+    assert all((out[1, i]["thread_turn"], out[1, i]["depth"], out[1, i]["place"]) == (0, i, i) for i in range(n))
+    assert all(out[2, i]["reply_to_turn"] == (i - 1 if i else None) for i in range(300))
 
 
 def distance(item, text):
