@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hopweave.ontology import Ontology
 
+#: The nodes and their categories.
 NODES = [
     ("Gene_A", ["Gene", "BiologicalEntity", "NamedThing"]),
     ("Gene_B", ["Gene", "BiologicalEntity", "NamedThing"]),
@@ -15,9 +16,25 @@ NODES = [
     ("Protein_M", ["Protein", "BiologicalEntity", "NamedThing"]),
     ("Protein_N", ["Protein", "BiologicalEntity", "NamedThing"]),
 ]
-_SHORT = {n.rpartition("_")[2]: n for n, _ in NODES}
-_EDGES = "affects A P, affects A Q, affects B P, affects B Q, affects P B, affects M P, affects Z Q, affects_increased_activity X A, affects Y B, treats X P, treats Y Q, interacts_with A M, interacts_with B N, interacts_with Z B, regulates A B, associated_with N Q"
-EDGES = [(_SHORT[s], p, _SHORT[t]) for p, s, t in (e.split() for e in _EDGES.split(", "))]
+#: The edges (subject, predicate, object).
+EDGES = [
+    ("Gene_A", "affects", "Disease_P"),
+    ("Gene_A", "affects", "Disease_Q"),
+    ("Gene_B", "affects", "Disease_P"),
+    ("Gene_B", "affects", "Disease_Q"),
+    ("Disease_P", "affects", "Gene_B"),
+    ("Protein_M", "affects", "Disease_P"),
+    ("GeneProtein_Z", "affects", "Disease_Q"),
+    ("SmallMolecule_X", "affects_increased_activity", "Gene_A"),
+    ("SmallMolecule_Y", "affects", "Gene_B"),
+    ("SmallMolecule_X", "treats", "Disease_P"),
+    ("SmallMolecule_Y", "treats", "Disease_Q"),
+    ("Gene_A", "interacts_with", "Protein_M"),
+    ("Gene_B", "interacts_with", "Protein_N"),
+    ("GeneProtein_Z", "interacts_with", "Gene_B"),
+    ("Gene_A", "regulates", "Gene_B"),
+    ("Protein_N", "associated_with", "Disease_Q"),
+]
 
 ONTOLOGY = Ontology(
     types=(
@@ -36,32 +53,49 @@ ONTOLOGY = Ontology(
     aspects=(("activity", "activity"), ("expression", "expression"), ("activity_or_abundance", "activity_or_abundance")),
 )
 
-TWO_HOP = """
-Disease|affects|F|Gene|regulates|R|Gene 1 Disease|affects|R|Gene 4 1
-Disease|affects|R|Gene+Protein|interacts_with|A|Gene 1 Disease|affects|R|Gene 4 1
-Disease|affects|R|Protein|interacts_with|A|Gene 1 Disease|affects|R|Gene 4 1
-Disease|associated_with|A|Protein|interacts_with|A|Gene 1 Disease|affects|R|Gene 4 1
-Gene+Protein|affects|F|Disease|affects|R|Gene 2 Gene+Protein|interacts_with|A|Gene 1 1
-Gene+Protein|interacts_with|A|Gene|affects|F|Disease 2 Gene+Protein|affects|F|Disease 1 1
-Gene|affects--increased--activity|R|SmallMolecule|treats|F|Disease 1 Gene|affects|F|Disease 4 1
-Gene|affects|F|Disease|affects|R|Gene 1 Gene|regulates|F|Gene 1 1
-Gene|affects|R|Disease|affects|R|Gene 1 Gene|regulates|R|Gene 1 1
-Gene|affects|R|SmallMolecule|treats|F|Disease 1 Gene|affects|F|Disease 4 1
-Gene|regulates|F|Gene|affects|F|Disease 2 Gene|affects|F|Disease 4 2
-Gene|regulates|R|Gene|affects|F|Disease 2 Gene|affects|F|Disease 4 2
-Gene|regulates|R|Gene|affects|F|Disease 2 Gene|affects|R|Disease 1 1
-Protein|affects|F|Disease|affects|R|Gene 2 Protein|interacts_with|A|Gene 2 1
-Protein|associated_with|A|Disease|affects|R|Gene 2 Protein|interacts_with|A|Gene 2 1
-Protein|interacts_with|A|Gene|affects|F|Disease 4 Protein|affects|F|Disease 1 1
-Protein|interacts_with|A|Gene|affects|F|Disease 4 Protein|associated_with|A|Disease 1 1
-SmallMolecule|affects--increased--activity|F|Gene|affects|F|Disease 2 SmallMolecule|treats|F|Disease 2 1
-SmallMolecule|affects|F|Gene|affects|F|Disease 2 SmallMolecule|treats|F|Disease 2 1
-SmallMolecule|treats|F|Disease|affects|R|Gene 4 SmallMolecule|affects--increased--activity|F|Gene 1 1
-SmallMolecule|treats|F|Disease|affects|R|Gene 4 SmallMolecule|affects|F|Gene 1 1
-"""
-ONE_HOP_SELF = "Disease|affects|F|Gene 1, Disease|affects|R|Gene 4, Disease|affects|R|Gene+Protein 1, Disease|affects|R|Protein 1, Disease|associated_with|A|Protein 1, Disease|treats|R|SmallMolecule 2, Gene|affects--increased--activity|R|SmallMolecule 1, Gene|affects|R|SmallMolecule 1, Gene|interacts_with|A|Gene+Protein 1, Gene|interacts_with|A|Protein 2, Gene|regulates|F|Gene 1, Gene|regulates|R|Gene 1"
+#: Predictor, its count, target, its count, overlap.
+TWO_HOP = [
+    ("Disease|affects|F|Gene|regulates|R|Gene", 1, "Disease|affects|R|Gene", 4, 1),
+    ("Disease|affects|R|Gene+Protein|interacts_with|A|Gene", 1, "Disease|affects|R|Gene", 4, 1),
+    ("Disease|affects|R|Protein|interacts_with|A|Gene", 1, "Disease|affects|R|Gene", 4, 1),
+    ("Disease|associated_with|A|Protein|interacts_with|A|Gene", 1, "Disease|affects|R|Gene", 4, 1),
+    ("Gene+Protein|affects|F|Disease|affects|R|Gene", 2, "Gene+Protein|interacts_with|A|Gene", 1, 1),
+    ("Gene+Protein|interacts_with|A|Gene|affects|F|Disease", 2, "Gene+Protein|affects|F|Disease", 1, 1),
+    ("Gene|affects--increased--activity|R|SmallMolecule|treats|F|Disease", 1, "Gene|affects|F|Disease", 4, 1),
+    ("Gene|affects|F|Disease|affects|R|Gene", 1, "Gene|regulates|F|Gene", 1, 1),
+    ("Gene|affects|R|Disease|affects|R|Gene", 1, "Gene|regulates|R|Gene", 1, 1),
+    ("Gene|affects|R|SmallMolecule|treats|F|Disease", 1, "Gene|affects|F|Disease", 4, 1),
+    ("Gene|regulates|F|Gene|affects|F|Disease", 2, "Gene|affects|F|Disease", 4, 2),
+    ("Gene|regulates|R|Gene|affects|F|Disease", 2, "Gene|affects|F|Disease", 4, 2),
+    ("Gene|regulates|R|Gene|affects|F|Disease", 2, "Gene|affects|R|Disease", 1, 1),
+    ("Protein|affects|F|Disease|affects|R|Gene", 2, "Protein|interacts_with|A|Gene", 2, 1),
+    ("Protein|associated_with|A|Disease|affects|R|Gene", 2, "Protein|interacts_with|A|Gene", 2, 1),
+    ("Protein|interacts_with|A|Gene|affects|F|Disease", 4, "Protein|affects|F|Disease", 1, 1),
+    ("Protein|interacts_with|A|Gene|affects|F|Disease", 4, "Protein|associated_with|A|Disease", 1, 1),
+    ("SmallMolecule|affects--increased--activity|F|Gene|affects|F|Disease", 2, "SmallMolecule|treats|F|Disease", 2, 1),
+    ("SmallMolecule|affects|F|Gene|affects|F|Disease", 2, "SmallMolecule|treats|F|Disease", 2, 1),
+    ("SmallMolecule|treats|F|Disease|affects|R|Gene", 4, "SmallMolecule|affects--increased--activity|F|Gene", 1, 1),
+    ("SmallMolecule|treats|F|Disease|affects|R|Gene", 4, "SmallMolecule|affects|F|Gene", 1, 1),
+]
+#: One-hop paths that predict themselves, with their counts.
+ONE_HOP_SELF = [
+    ("Disease|affects|F|Gene", 1),
+    ("Disease|affects|R|Gene", 4),
+    ("Disease|affects|R|Gene+Protein", 1),
+    ("Disease|affects|R|Protein", 1),
+    ("Disease|associated_with|A|Protein", 1),
+    ("Disease|treats|R|SmallMolecule", 2),
+    ("Gene|affects--increased--activity|R|SmallMolecule", 1),
+    ("Gene|affects|R|SmallMolecule", 1),
+    ("Gene|interacts_with|A|Gene+Protein", 1),
+    ("Gene|interacts_with|A|Protein", 2),
+    ("Gene|regulates|F|Gene", 1),
+    ("Gene|regulates|R|Gene", 1),
+]
+#: One-hop paths that predict others.
 ONE_HOP_CROSS = [("Disease|affects|F|Gene", 1, "Disease|affects|R|Gene", 4, 1), ("Disease|affects|R|Gene", 4, "Disease|affects|F|Gene", 1, 1)]
 
+#: Exact counts of rolled-up targets.
 ROLLED_UP = {
     "Disease|affects|R|Gene": 5, "Disease|affects|R|Gene+Protein": 1, "Disease|affects|R|Protein": 2, "Disease|treats|R|SmallMolecule": 2,
     "Gene|regulates|F|Gene": 1, "Gene|regulates|R|Gene": 1, "Gene|interacts_with|A|Protein": 3, "BiologicalEntity|affects|F|Disease": 6,
@@ -70,7 +104,7 @@ ROLLED_UP = {
     "Gene|affects--increased--activity|R|SmallMolecule": 1, "Gene|affects|R|SmallMolecule": 2, "Gene|affects----activity|R|SmallMolecule": 1,
 }
 
-#: target, predictor, orientation, predictor count, overlap, total, precision, recall, mcc
+#: Target, predictor, orientation, predictor count, overlap, total, precision, recall, mcc
 GROUPED = [
     ("ChemicalEntity|treats|F|Disease", "SmallMolecule|affects--increased--activity|F|Gene|affects|F|Disease", "fwd", 2, 1, 4, 0.5, 0.5, 0.0),
     ("ChemicalEntity|treats|F|Disease", "SmallMolecule|affects|F|Gene|affects|F|Disease", "fwd", 2, 1, 4, 0.5, 0.5, 0.0),
