@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import base_of, compound, strip_prefix
 from ..ontology import Ontology, normalized_predicates
-from ..storage import staged
+from ..storage import small, staged
 
 KEY = ["stype", "pred", "dir", "ttype"]
 SUBCLASS = "biolink:subclass_of"
@@ -23,10 +23,12 @@ SUBCLASS = "biolink:subclass_of"
 
 def typed_nodes(nodes: DataFrame, ontology: Ontology) -> DataFrame:
     """(id, ntype): every node with categories gets exactly one type or pseudo-type. Categories repeat across nodes,
-    so the type is worked out once for each distinct list."""
+    so the type is worked out once for each distinct list; lists are few, so the commonest is no hot key. An id that is
+    listed with several types gets the first by name."""
     lists = nodes.select("category").distinct()
-    assigned = lists.withColumn("ntype", ontology.assigned_type(F.col("category")))
-    return nodes.join(assigned, "category").filter(F.col("ntype").isNotNull()).select("id", "ntype").dropDuplicates(["id"])
+    assigned = staged(lists.withColumn("ntype", ontology.assigned_type(F.col("category"))), "types")
+    typed = nodes.join(small(assigned), "category").filter(F.col("ntype").isNotNull())
+    return typed.groupBy("id").agg(F.min("ntype").alias("ntype"))
 
 
 def base_edges(edges: DataFrame, nodes: DataFrame, ontology: Ontology) -> DataFrame:

@@ -5,6 +5,8 @@ Plans stay short, work is not repeated, and a lost executor costs nothing that i
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,13 +21,19 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """``spark.checkpoint.dir``. Where none is set, a temporary folder stands in on one machine; on a cluster, whose
+    executors would write to their own disks, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, "")
-        if not base:
-            base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="hopweave-")
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        own = tempfile.mkdtemp(prefix="hopweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[context.applicationId] = "file://" + own
+    return _OWN[context.applicationId]
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
