@@ -218,3 +218,13 @@ def normalized_predicates(predicates: DataFrame, ontology: Ontology, column: str
     fits = split.filter(F.array_contains(dirs, F.col("d")) & F.array_contains(asps, F.col("a")))
     best = fits.groupBy("name").agg(F.min_by(compound(F.col("base"), F.col("d"), F.col("a")), F.struct("n", "k")).alias("found"))
     return names.join(F.broadcast(best), "name", "left").select(F.col("name").alias(column), F.coalesce("found", "name").alias("normalized"))
+
+
+def normalized_paths(paths: DataFrame, ontology: Ontology, column: str = "path") -> DataFrame:
+    """(column, normalized): every distinct path with the flat predicates of all its hops normalised; the names are
+    worked out once each, and joined to the paths' positions."""
+    each = paths.select(F.col(column).alias("p")).distinct().select("p", F.posexplode("p.preds").alias("at", "raw"))
+    names = normalized_predicates(each, ontology, "raw")
+    hops = F.array_sort(F.collect_list(F.struct("at", "normalized")))  # a path's hops
+    made = each.join(F.broadcast(names), "raw").groupBy("p").agg(F.transform(hops, lambda x: x["normalized"]).alias("preds"))
+    return made.select(F.col("p").alias(column), mp.path(F.col("p.nodes"), F.col("preds"), F.col("p.dirs")).alias("normalized"))

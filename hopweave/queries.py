@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,12 @@ from . import oracles as O
 from .functions import metapath as mp
 from .functions import predicates as P
 from .functions.metrics import metrics
-from .ontology import normalized_predicates
+from .ontology import normalized_paths, normalized_predicates
 from .operators import grouping, merge, paths, targets, variants
-from .operators.graph import hierarchical_node_counts
+from .operators.graph import Graph, hierarchical_node_counts
+from .sources import kgx, results
 from .sources.tables import ONTOLOGY, PREDICATES, base_edges, categories, graph
+from .storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -348,6 +351,70 @@ def _plan_costs_sql() -> str:
 SELECT {_BUCKET_SQL.format("about")} AS bucket, count(*) AS products, round(sum(about), 3) AS rows FROM x GROUP BY 1"""
 
 
+#: The predicates whose ends have node records (users and event types have none, so their edges are dropped).
+RECORDED = tuple(p for p in PREDICATES if p != "performed")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> str:
+    """The tables as node and edge records in JSON lines, in the shared folder: every edge of the graph, symmetric ones
+    in one direction, edges with an unknown end, and subclass edges, which ingest must drop."""
+    where = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    kgx.write_records(categories(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.transform("category", lambda c: F.concat(F.lit("biolink:"), c)).alias("category")), f"{where}/nodes")
+    edges = base_edges(spark, sf_dir)
+    part = P.parts_of(F.col("pred"))
+    none = F.lit(None).cast("string")
+    flat = edges.filter((F.col("pred") != "neighbor_of") | (F.col("s") < F.col("t"))).select(F.col("s").cast("string").alias("subject"), F.concat(F.lit("biolink:"), part["base"]).alias("predicate"), F.col("t").cast("string").alias("object"), part["direction"].alias("object_direction_qualifier"), part["aspect"].alias("object_aspect_qualifier"))
+    below = edges.filter("pred = 'in_region'").select(F.col("s").cast("string").alias("subject"), F.lit("biolink:subclass_of").alias("predicate"), F.col("t").cast("string").alias("object"), none.alias("object_direction_qualifier"), none.alias("object_aspect_qualifier"))
+    kgx.write_records(flat.unionByName(below), f"{where}/edges")
+    return where
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> Graph:
+    where = _records(spark, sf_dir)
+    return kgx.read_graph(spark, f"{where}/nodes", f"{where}/edges", ONTOLOGY)
+
+
+def ingest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed base edges from records: subclass edges and untyped ends dropped, prefixes stripped, symmetric mirrored."""
+    return _ingested(spark, sf_dir).base.withColumns({"s": F.col("s").cast("long"), "t": F.col("t").cast("long")})
+
+
+def ingest_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog and node counts of matrices that were written, and read back."""
+    path = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    kgx.write_matrices(_ingested(spark, sf_dir), path)
+    return kgx.read_catalog(spark, path).select("stype", "pred", "ttype", "nrows", "ncols", "nvals")
+
+
+def matrices_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-hop overlaps from stored matrices, only those of some predicates opened (a pruned scan, whole matrices)."""
+    path = f"{shared_dir(spark)}/matrices-{uuid.uuid4().hex}"
+    kgx.write_matrices(graph(spark, sf_dir), path)
+    return paths.raw_overlaps(kgx.read_matrices(spark, path, ONTOLOGY, list(TWO_HOP)), 1)
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw overlap rows written as files and read back."""
+    path = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    results.write_raw(paths.raw_overlaps(graph(spark, sf_dir, PLACES), 2), path)
+    return results.read_raw(spark, path)
+
+
+def grouped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows written in a folder for each target and read back."""
+    path = f"{shared_dir(spark)}/grouped-{uuid.uuid4().hex}"
+    results.write_grouped(grouping.grouped_predictors(graph(spark, sf_dir, PLACES), 2), path)
+    return _round(results.read_grouped(spark, path), *SIX)
+
+
+def metapath_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat predicate names in all hops of a path."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct()
+    text = F.concat(F.lit("User|performed_"), "event_type", F.lit("_high|F|EventType|performed_"), "event_type", F.lit("|R|User|located_in|F|Nation"))
+    made = e.select(mp.parse(text).alias("path"))
+    return normalized_paths(made, ONTOLOGY).select(mp.build(F.col("path")).alias("path"), mp.build(F.col("normalized")).alias("normalized"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "flagship": flagship,
@@ -387,6 +454,14 @@ def queries() -> dict[str, Query]:
         "plan_costs": plan_costs,
         "stratified_sample": stratified_sample,
         "sampled_subgraph": sampled_subgraph,
+        "ingest_edges": ingest_edges,
+        "ingest_catalog": ingest_catalog,
+        "matrices_overlap": matrices_overlap,
+        "raw_files": raw_files,
+        "grouped_files": grouped_files,
+        "metapath_normalize": metapath_normalize,
+        "whole_twohop_overlap": _raw(PREDICATES, 2),
+        "whole_twohop_grouped": _grouped(PREDICATES, True, 0, 0.0),
     }
 
 
@@ -429,4 +504,11 @@ def oracle_sql() -> dict[str, str]:
         "category_frequencies": "SELECT category, count(*) AS n FROM (SELECT unnest(['Customer_' || c_mktsegment, 'Customer', 'Party', 'NamedThing']) AS category FROM customer UNION ALL SELECT unnest(['Product', 'Part', 'Part_' || p_type]) FROM part UNION ALL SELECT 'LargeItem' FROM part WHERE p_size > 40 UNION ALL SELECT unnest(['NamedThing', 'Supplier', 'Party']) FROM supplier UNION ALL SELECT unnest(['Nation', 'Place']) FROM nation UNION ALL SELECT 'Region' FROM region) GROUP BY 1",
         "timing_percentiles": f"SELECT {_BUCKET_SQL.format('o_orderkey')} AS bucket, count(*) AS n, round(avg(o_totalprice), 4) AS mean, " + ", ".join(f"round(quantile_cont(o_totalprice, {p / 100}), 4) AS p{p}" for p in (25, 50, 75, 90, 95, 99)) + " FROM orders GROUP BY 1",
         "plan_costs": _plan_costs_sql(),
+        "ingest_edges": f"WITH {O.base(RECORDED)} SELECT * FROM base",
+        "ingest_catalog": f"WITH {O.base(RECORDED)} SELECT stype, pred, ttype, a.n AS nrows, b.n AS ncols, count(*) AS nvals FROM base JOIN sz a ON a.ntype = stype JOIN sz b ON b.ntype = ttype GROUP BY ALL",
+        "matrices_overlap": _raw_sql(TWO_HOP, 1),
+        "raw_files": _raw_sql(PLACES, 2),
+        "grouped_files": O.grouped(PLACES, 2, True, 0, 0.0, (), ()),
+        "metapath_normalize": "SELECT 'User|performed_' || e || '_high|F|EventType|performed_' || e || '|R|User|located_in|F|Nation' AS path, 'User|performed--' || e || '--high|F|EventType|performed--' || e || '--|R|User|located_in|F|Nation' AS normalized FROM (SELECT DISTINCT event_type AS e FROM events)",
+        "whole_twohop_overlap": _raw_sql(PREDICATES, 2),
     }

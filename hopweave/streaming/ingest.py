@@ -1,7 +1,8 @@
 """Edges that arrive over time, as a stream into the stored hop relation.
 
-An edge may arrive more than once. Within the watermark repeats are dropped from bounded state; each micro-batch is
-written under its own number, so that a repeated batch overwrites itself.
+An edge may arrive more than once. Within the watermark repeats are dropped from bounded state. Each micro-batch is
+held against what is stored, so an edge, or the mirror of a symmetric one, that came in an earlier batch is not stored
+again; it is written under its own number, so that a repeated batch overwrites itself.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..ontology import Ontology
 from ..operators.graph import base_edges
+from ..storage import small, staged
 
 
 def distinct_edges(edges: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
@@ -22,8 +24,18 @@ def distinct_edges(edges: DataFrame, event_time: str, delay: str = "1 hour") ->
 def write_base_edges(edges: DataFrame, nodes: DataFrame, ontology: Ontology, path: str, checkpoint: str) -> DataStreamWriter:
     """A writer (call ``start``) that types each micro-batch against ``nodes`` (id, ntype) and stores its base edges."""
 
+    key = ["stype", "pred", "ttype", "s", "t"]
+
     def write(batch: DataFrame, number: int) -> None:
-        base_edges(batch, nodes, ontology).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        spark = batch.sparkSession
+        fresh = staged(base_edges(batch, nodes, ontology), "stream")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            # the store is scanned, not shuffled, where the batch is small; a batch that is run again ignores itself
+            stored = spark.read.parquet(path).filter(F.col("batch") != number).select(*key)
+            known = staged(stored.join(small(fresh), key, "left_semi"), "stream-known")
+            fresh = fresh.join(small(known), key, "left_anti")
+        fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return edges.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -106,6 +106,10 @@ def test_stream(spark, tmp_path):
     nodes = typed_nodes(spark.createDataFrame([("TEST:" + n, [f"biolink:{c}" for c in cats]) for n, cats in golden.NODES], "id string, category array<string>"), golden.ONTOLOGY)
     query = ingest.write_base_edges(ingest.distinct_edges(stream, "at"), nodes, golden.ONTOLOGY, str(tmp_path / "out"), str(tmp_path / "cp")).start()
     query.processAllAvailable()
+    # a later batch: an edge that is stored, and the mirrors of symmetric ones, under new times
+    again = [("TEST:" + t, "biolink:" + p, "TEST:" + s) for s, p, t in golden.EDGES if p in ("interacts_with", "associated_with")] + [("TEST:Gene_A", "biolink:regulates", "TEST:Gene_B")]
+    write_lines(source / "b.json", [{"subject": s, "predicate": p, "object": t, "at": "2024-01-05T00:00:00"} for s, p, t in again])
+    query.processAllAvailable()
     query.stop()
     out = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert out.select(g.base.columns).exceptAll(g.base).isEmpty() and out.count() == g.base.count()
