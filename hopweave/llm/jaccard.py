@@ -55,7 +55,7 @@ from .graphs import components
 #: Texts of a region up to which it is joined in one task (with its partner block: twice as many).
 REGION_TEXTS = 256
 #: Pivots, about, that a larger region is split around.
-PIVOTS = 16
+PIVOTS = 6
 #: Of each two components in a region, so many pairs are measured first.
 FIRST_PAIRS = 4
 #: Words whose hash a task keeps; the store is emptied when full.
