@@ -22,6 +22,8 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, St
 ARROW_ROWS = 256
 #: Bytes of a table's values up to which it is broadcast; beyond it, joins shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of files that a stage reads for each file that it writes, at least.
+PART_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +58,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+def parts_wanted(df: DataFrame) -> int:
+    """Files that ``df`` is worth by the files it reads; twice the cluster's cores at least, so none is left idle."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-read // PART_BYTES))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` once into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    A small table that was shuffled into many partitions goes to few files: an empty one costs as much to write and
+    open as a full one. Nothing is shuffled for that, and large tables keep their partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    wanted = parts_wanted(df)
+    # sizes that are not known count as huge
+    (df.coalesce(wanted) if wanted < 1 << 20 else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
