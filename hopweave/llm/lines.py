@@ -7,8 +7,9 @@ or above it leave every text, however much of it they are.
 
 A text that many sites hold unchanged is a copy, which near-duplicate search deals with, and does not make its lines
 boilerplate: each different text counts once, for the first of its sites. With ``linked_copies`` the same holds for
-groups of texts that near-duplicate search links: a group counts as one site, and lines that have the spread only
-through such groups stay in the group's texts (they leave all others).
+near copies: among texts of which such lines make up over half, those that share a rare line and 0.8 of their five-word
+shingles form groups (:func:`copy_groups`); a group counts as one site, and lines that have the spread only through
+such groups stay in the group's texts (they leave all others). All of it is DataFrame functions.
 
 Null texts stay null; empty texts and blank lines stay as they are. Rows without a site add nothing to a spread. Ties
 at the threshold count as boilerplate. Repeated rows are treated alike. Texts of any length are taken whole; an empty
@@ -20,13 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import jaccard
 from .common import BROADCAST_BYTES, small, staged, table
+from .graphs import components
 
 MIN_SITES = 10
 #: Sketches of 2^10 registers err by 3.2 % (one deviation); the margin is eight of them.
 LG_REGISTERS = 10
 MARGIN = 0.25
+#: Linked copies: their similarity, by shingles of so many words, and that of two texts linked with others: copies within
+#: a distance of 0.2 of one original lie within 0.4 of each other.
+COPY_SHARE, COPY_REACH, COPY_WORDS = (80, 100), (60, 100), 5
+#: The rarest lines of a text that seek partners, and the partners of each. A copy that links with a share p of its group
+#: is left alone with a chance of (1 - p) ** COPY_PARTNERS.
+COPY_LINES, COPY_PARTNERS = 4, 32
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -58,23 +65,65 @@ def spread_lines(lines: DataFrame, min_sites: int, copies: DataFrame | None = No
     return sure.unionByName(exact)
 
 
+def shingle_sets(text: Column, k: int) -> Column:
+    """Distinct hashes of a text's k-word shingles (all words, if fewer); words lie between ASCII blanks, A-Z
+    lower-cased. Texts without words have none."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(low, "[\\x09-\\x0D\\x20]+"), lambda w: w != "")
+    at = lambda all_: F.sequence(F.lit(1), F.greatest(F.size(all_) - (k - 1), F.lit(1)))
+    # bound to a name, or each shingle would split the text again
+    return F.array_distinct(F.transform(F.array(words), lambda all_: F.transform(F.filter(at(all_), lambda _: F.size(all_) > 0), lambda i: F.xxhash64(F.slice(all_, i, k))))[0])
+
+
+def copy_groups(texts: DataFrame, lines: DataFrame, most: int) -> DataFrame:
+    """(__key, group) of the ``texts`` (__key, __key2, text; staged, distinct) that are linked copies; ``lines`` has
+    their lines (__key, __key2, h; staged).
+
+    Copies share their rarest lines. For each of its ``COPY_LINES`` rarest lines, each text is held against the texts
+    that ``COPY_PARTNERS`` hashes put first among those with the line, so pairs grow with the texts however many share
+    a line. A text is a copy if the exact similarity of its shingles to a partner reaches ``COPY_SHARE``; copies are one
+    group if chains of pairs that reach ``COPY_REACH`` join them. Other pairs are not looked for; a copy missed counts
+    as a site of its own.
+    """
+    sets = staged(texts.select("__key", shingle_sets(F.col("text"), COPY_WORDS).alias("set")), "copies-sets")
+    each = staged(lines.select("__key", "h").distinct(), "copies-lines")
+    drawn = F.array(*[F.min_by("__key", F.xxhash64("__key", F.lit(turn))) for turn in range(COPY_PARTNERS)])
+    count = staged(each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), drawn.alias("a")).filter("n > 1"), "copies-count")
+    # no longer than the text's lines
+    of = each.join(small(count, most), "h").groupBy("__key").agg(F.collect_list(F.struct("n", "h", "a")).alias("all"))
+    rare = of.select(F.col("__key").alias("b"), F.explode(F.array_distinct(F.flatten(F.slice(F.array_sort("all"), 1, COPY_LINES)["a"]))).alias("a"))
+    pairs = staged(rare.filter("a <> b").distinct(), "copies-pairs")
+    firsts = staged(pairs.select("a").distinct(), "copies-firsts")
+    first = staged(sets.join(small(firsts.select(F.col("a").alias("__key")), most), "__key", "left_semi").select(F.col("__key").alias("a"), F.col("set").alias("set_a")), "copies-first-sets")
+    both = small(pairs, most).join(sets.select(F.col("__key").alias("b"), F.col("set").alias("set_b")), "b").join(small(first, most), "a")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    met = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    every = F.col("sum") - F.col("common")
+    reach = lambda share: F.col("common") * share[1] >= every * share[0]
+    near = staged(met.filter((F.col("common") > 0) & reach(COPY_REACH)).select("a", "b", reach(COPY_SHARE).alias("linked")), "copies-near")
+    linked = staged(near.filter("linked").select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "copies-linked")
+    for end in ("a", "b"):
+        near = near.join(small(linked.select(F.col("__key").alias(end)), most), end, "left_semi")
+    return components(near.select("a", "b")).select(F.col("node").alias("__key"), F.col("label").alias("group"))
+
+
 def copied_places(docs: DataFrame, lines: DataFrame, cut: DataFrame, repeated: DataFrame, min_sites: int, most: int) -> DataFrame:
     """(__key, __key2, __keep): of texts that are linked copies, the places of lines that spread by copying alone.
 
-    Texts with lines to cut over half their characters are held against each other by near-duplicate search (five
-    words, 0.8); each group that it links counts as one site.
+    Texts with lines to cut over half their characters are held against each other (:func:`copy_groups`); each group
+    of linked ones counts as one site.
     """
     whole = docs.select(*_keys(F.col("text")), "text")
     size = F.aggregate("__cut", F.lit(0).cast("long"), lambda a, x: a + x["size"])
     much = staged(cut.select("__key", "__key2", size.alias("size")), "lines-much")
     rows = whole.join(small(much, most), ["__key", "__key2"]).filter(F.col("size") * 2 > F.length("text"))
     one = staged(rows.groupBy("__key", "__key2").agg(F.first("text").alias("text")), "lines-whole")
-    found = staged(jaccard.clusters(one.select(F.col("__key").alias("doc_id"), "text"), 5, 80, 100), "lines-groups")
-    member = one.select("__key", "__key2").join(found.select(F.col("doc_id").alias("__key"), F.col("keeper_id").alias("group")).distinct(), "__key")
-    groups = member.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    names = staged(one.select("__key", "__key2"), "lines-names")
+    theirs = staged(lines.join(small(names, most), ["__key", "__key2"], "left_semi"), "lines-theirs")
+    found = copy_groups(one, theirs, most)
     # no site has a name with this line feed
-    member = staged(member.join(groups, "group").select("__key", "__key2", F.concat(F.lit("\ncopies "), F.col("group").cast("string")).alias("one")), "lines-copies")
-    inside = lines.join(small(member.drop("one"), most), ["__key", "__key2"], "left_semi")
+    member = staged(names.join(small(found, most), "__key").select("__key", "__key2", F.concat(F.lit("\ncopies "), F.col("group").cast("string")).alias("one")), "lines-copies")
+    inside = staged(theirs.join(small(member.drop("one"), most), ["__key", "__key2"], "left_semi"), "lines-inside")
     asked = staged(inside.select("h").distinct(), "lines-asked")
     units = staged(repeated.join(member, ["__key", "__key2"], "left_anti").unionByName(member), "lines-units")
     anyway = staged(spread_lines(lines.join(small(asked, most), "h", "left_semi"), min_sites, units, most), "lines-anyway")

@@ -227,6 +227,28 @@ def test_lines_leave_every_text_but_copies(spark):
     assert out[300] == "" and out[301] is None and len(out) == len(rows)
 
 
+def test_near_copies_of_lines(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    story = [" ".join(word() for _ in range(25)) for _ in range(6)]
+    notice = " ".join(word() for _ in range(30))
+    rows = []
+    for i in range(14):  # each with another line altered in one word
+        mine = list(story)
+        mine[i % 6] = mine[i % 6].replace(mine[i % 6].split()[i], f"other{i}")
+        rows.append((i, f"s{i}", "\n".join(mine)))
+    # pages that are a notice over half, and otherwise their own
+    rows += [(100 + i, f"s{i}", notice + "\n" + " ".join(word() for _ in range(20))) for i in range(14)]
+    out = {r["doc_id"]: r["text"] for r in lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), linked_copies=True).collect()}
+    assert all(out[i] == text for i, _, text in rows[:14])
+    assert all(out[i] == text.split("\n")[1] for i, _, text in rows[14:])
+
+    texts = ["", None, " \t\n", "One", "a B\x0bc  d", "a b c d e", "a b c d e f a b c d e"]
+    sizes = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(lines.shingle_sets(F.col("t"), 5))).collect()]
+    tuples = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4)) if t.split()}
+    assert [max(n, 0) if n is not None else 0 for n in sizes] == [len(tuples(t or "")) for t in texts]
+
+
 def same_as_sql(df, sql, table, tmp_path, name):
     """Whether a query's rows are those of its SQL over ``table``, a list of (name, DataFrame)."""
     import duckdb
