@@ -152,11 +152,15 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def label_sample(labels: DataFrame, column: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents (doc_id, y), none of them held out: those of the lowest hash.
+def known_labels(labels: DataFrame, column: str) -> DataFrame:
+    """Every labelled document (doc_id, y) that is not held out.
 
     Rows without an id or label are left out; a document labelled twice counts once, with its larger label.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out())
-    one = known.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("y"))
-    return one.orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(rows)
+    return known.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("y"))
+
+
+def label_sample(labels: DataFrame, column: str, rows: int) -> DataFrame:
+    """At most ``rows`` of :func:`known_labels`: those of the lowest hash."""
+    return known_labels(labels, column).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(rows)

@@ -147,6 +147,27 @@ def test_quality_scores_recomputed(labelled):
             assert loss(fitted.weights + step * (np.arange(len(fitted.weights)) == k)) > least
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """More labelled rows than any sample held, in many blocks: weights, mean and cut are those of all rows."""
+    n = 13_000
+    monkeypatch.setattr(quality, "GATHERED", 50)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, len(quality.FEATURES)))
+    y = (x[:, 0] - x[:, 3] + rng.normal(size=n) > -1).astype(int)
+    rows = spark.createDataFrame([(i, int(b), a) for i, (a, b) in enumerate(zip(x.tolist(), y.tolist()))], "doc_id long, y int, features array<double>").repartition(5).cache()
+    model = quality.fit_all(rows)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, x.std(0))
+    bad = int((y == 0).sum())
+    assert model.cut == pytest.approx(np.sort(model.raw(x))[[bad - 1, bad]].mean(), abs=1e-9)
+    one = quality.pair_sums(x[:200], y[:200], model.weights)
+    pairs = [x[i] - x[j] for i in range(200) for j in range(200) if y[i] == 1 and y[j] == 0]
+    lost = [1 / (1 + np.exp(d @ model.weights)) for d in pairs]
+    assert one[0] == len(pairs) and np.allclose(one[1:12], np.transpose(pairs) @ lost)
+    assert np.allclose(one[12:].reshape(11, 11), sum(p * (1 - p) * np.outer(d, d) for p, d in zip(lost, pairs)))
+    # every row moves the model: without one row of 13,000 it is another
+    assert not np.array_equal(quality.fit_all(rows.filter("doc_id <> 12999")).weights, model.weights)
+
+
 def test_quality_without_labels(labelled):
     docs, labels = labelled
     model = quality.train(docs, labels.limit(0))
