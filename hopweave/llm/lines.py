@@ -7,8 +7,8 @@ or above it leave every text, however much of it they are.
 
 A text that many sites hold unchanged is a copy, which near-duplicate search deals with, and does not make its lines
 boilerplate: each different text counts once, for the first of its sites. With ``linked_copies`` the same holds for
-near copies: among texts of which such lines make up over half, those that share a rare line and 0.8 of their five-word
-shingles form groups (:func:`copy_groups`); a group counts as one site, and lines that have the spread only through
+near copies: among texts of which such lines make up over half, those that have 0.8 of their five-word shingles in
+common with another form groups, exactly (:func:`copy_groups`); a group counts as one site, and lines that have the spread only through
 such groups stay in the group's texts (they leave all others). All of it is DataFrame functions.
 
 Null texts stay null; empty texts and blank lines stay as they are. Rows without a site add nothing to a spread. Ties
@@ -31,8 +31,8 @@ MARGIN = 0.25
 #: Linked copies: their similarity, by shingles of so many words, and that of two texts linked with others: copies within
 #: a distance of 0.2 of one original lie within 0.4 of each other.
 COPY_SHARE, COPY_REACH, COPY_WORDS = (80, 100), (60, 100), 5
-#: The rarest lines of a text that seek partners, and the partners of each. A copy that links with a share p of its group
-#: is left alone with a chance of (1 - p) ** COPY_PARTNERS.
+#: The rarest lines of a text that seek partners first, and the partners of each. A copy that links with a share p of its
+#: group is left to the exact search with a chance of (1 - p) ** COPY_PARTNERS.
 COPY_LINES, COPY_PARTNERS = 4, 32
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -75,15 +75,55 @@ def shingle_sets(text: Column, k: int) -> Column:
     return F.array_distinct(F.transform(F.array(words), lambda all_: F.transform(F.filter(at(all_), lambda _: F.size(all_) > 0), lambda i: F.xxhash64(F.slice(all_, i, k))))[0])
 
 
+def _prefixes(sets: DataFrame, most: int) -> DataFrame:
+    """(__key, m, h, tight), staged: the rarest shingles of each set, as many that two sets whose similarity reaches
+    ``COPY_REACH`` share one of them, and two that reach ``COPY_SHARE`` one that is ``tight`` in both.
+
+    A set of m that has a share s of its shingles in common with another has all but m - ceil(s m) of them; so of the
+    first m - ceil(s m) + 1 in any order that is the same for all sets, the two share one. Shingles of one text alone
+    come first in the order and meet nothing.
+    """
+    each = sets.select("__key", F.size("set").alias("m"), F.explode("set").alias("h"))
+    shared = staged(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies-shared")
+    # no longer than the text's shingles
+    order = each.join(small(shared, most), "h").groupBy("__key", "m").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("order"))
+    upto = lambda share: F.greatest(F.col("m") - F.floor((F.col("m") * share[0] + share[1] - 1) / share[1]) + 1 - (F.col("m") - F.size("order")), F.lit(0)).cast("int")
+    picked = order.select("__key", "m", upto(COPY_SHARE).alias("tight"), F.slice("order", F.lit(1), upto(COPY_REACH))["h"].alias("of"))
+    return staged(picked.select("__key", "m", "tight", F.posexplode("of").alias("at", "h")).select("__key", "m", "h", (F.col("at") < F.col("tight")).alias("tight")), "copies-prefixes")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """(a, b, linked), staged: of ``pairs`` (a, b; staged) those that reach ``COPY_REACH``, and whether ``COPY_SHARE``."""
+    firsts = staged(pairs.select("a").distinct(), "copies-firsts")
+    first = staged(sets.join(small(firsts.select(F.col("a").alias("__key")), most), "__key", "left_semi").select(F.col("__key").alias("a"), F.col("set").alias("set_a")), "copies-first-sets")
+    both = small(pairs, most).join(sets.select(F.col("__key").alias("b"), F.col("set").alias("set_b")), "b").join(small(first, most), "a")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    met = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+    every = F.col("sum") - F.col("common")
+    reach = lambda share: F.col("common") * share[1] >= every * share[0]
+    return staged(met.filter((F.col("common") > 0) & reach(COPY_REACH)).select("a", "b", reach(COPY_SHARE).alias("linked")), "copies-near")
+
+
+def _meeting(left: DataFrame, right: DataFrame, share: tuple[int, int], more: str = "true") -> DataFrame:
+    """(a, b), staged: texts of ``left`` and ``right`` (__key, m, h and others) that share a shingle and whose sizes let
+    them reach ``share``; ``more`` is a condition on l and r."""
+    num, den = share
+    met = left.alias("l").join(right.alias("r"), F.expr("l.h = r.h")).filter(f"l.__key <> r.__key and l.m * {den} >= r.m * {num} and r.m * {den} >= l.m * {num} and {more}")
+    return staged(met.select(F.least("l.__key", "r.__key").alias("a"), F.greatest("l.__key", "r.__key").alias("b")).distinct(), "copies-pairs")
+
+
 def copy_groups(texts: DataFrame, lines: DataFrame, most: int) -> DataFrame:
     """(__key, group) of the ``texts`` (__key, __key2, text; staged, distinct) that are linked copies; ``lines`` has
     their lines (__key, __key2, h; staged).
 
-    Copies share their rarest lines. For each of its ``COPY_LINES`` rarest lines, each text is held against the texts
-    that ``COPY_PARTNERS`` hashes put first among those with the line, so pairs grow with the texts however many share
-    a line. A text is a copy if the exact similarity of its shingles to a partner reaches ``COPY_SHARE``; copies are one
-    group if chains of pairs that reach ``COPY_REACH`` join them. Other pairs are not looked for; a copy missed counts
-    as a site of its own.
+    A text is a copy if the similarity of its shingles to another text reaches ``COPY_SHARE``; copies are one group if
+    chains of copies whose similarity reaches ``COPY_REACH`` join them. Both are exact.
+
+    Most copies share their rarest lines, so these go first: for each of its ``COPY_LINES`` rarest lines, each text is
+    held against the texts that ``COPY_PARTNERS`` hashes put first among those with the line, and pairs grow with the
+    texts however many share a line. What that leaves open is found by the rarest shingles (:func:`_prefixes`): texts
+    not yet known as copies meet all texts that share one, and copies those of other groups. So no group is expanded
+    into its pairs; unlike texts that share shingles among their rarest are.
     """
     sets = staged(texts.select("__key", shingle_sets(F.col("text"), COPY_WORDS).alias("set")), "copies-sets")
     each = staged(lines.select("__key", "h").distinct(), "copies-lines")
@@ -92,19 +132,25 @@ def copy_groups(texts: DataFrame, lines: DataFrame, most: int) -> DataFrame:
     # no longer than the text's lines
     of = each.join(small(count, most), "h").groupBy("__key").agg(F.collect_list(F.struct("n", "h", "a")).alias("all"))
     rare = of.select(F.col("__key").alias("b"), F.explode(F.array_distinct(F.flatten(F.slice(F.array_sort("all"), 1, COPY_LINES)["a"]))).alias("a"))
-    pairs = staged(rare.filter("a <> b").distinct(), "copies-pairs")
-    firsts = staged(pairs.select("a").distinct(), "copies-firsts")
-    first = staged(sets.join(small(firsts.select(F.col("a").alias("__key")), most), "__key", "left_semi").select(F.col("__key").alias("a"), F.col("set").alias("set_a")), "copies-first-sets")
-    both = small(pairs, most).join(sets.select(F.col("__key").alias("b"), F.col("set").alias("set_b")), "b").join(small(first, most), "a")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    met = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sum"))
-    every = F.col("sum") - F.col("common")
-    reach = lambda share: F.col("common") * share[1] >= every * share[0]
-    near = staged(met.filter((F.col("common") > 0) & reach(COPY_REACH)).select("a", "b", reach(COPY_SHARE).alias("linked")), "copies-near")
-    linked = staged(near.filter("linked").select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "copies-linked")
+    near = _near(staged(rare.filter("a <> b").select("a", "b").distinct(), "copies-pairs"), sets, most)
+    ends = lambda pairs: staged(pairs.filter("linked").select(F.explode(F.array("a", "b")).alias("__key")).distinct(), "copies-linked")
+    prefixes = _prefixes(sets, most)
+    tight = prefixes.filter("tight")
+    alone = tight.join(small(ends(near), most), "__key", "left_anti")
+    near = near.unionByName(_near(_meeting(alone, tight, COPY_SHARE), sets, most))
+    # two texts that a text not yet known meets are copies by that pair alone, so all copies are known now
+    linked = ends(near)
     for end in ("a", "b"):
         near = near.join(small(linked.select(F.col("__key").alias(end)), most), end, "left_semi")
-    return components(near.select("a", "b")).select(F.col("node").alias("__key"), F.col("label").alias("group"))
+    near = staged(near.select("a", "b"), "copies-links")
+    group = staged(components(near).select(F.col("node").alias("__key"), F.col("label").alias("group")), "copies-groups")
+    open_ = prefixes.join(small(group, most), "__key")
+    across = staged(open_.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("h"), "copies-across")
+    open_ = staged(open_.join(small(across, most), "h", "left_semi"), "copies-open")
+    joined = _near(_meeting(open_, open_, COPY_REACH, "l.group < r.group"), sets, most)
+    if joined.isEmpty():
+        return group
+    return components(near.unionByName(joined.select("a", "b"))).select(F.col("node").alias("__key"), F.col("label").alias("group"))
 
 
 def copied_places(docs: DataFrame, lines: DataFrame, cut: DataFrame, repeated: DataFrame, min_sites: int, most: int) -> DataFrame:

@@ -249,6 +249,43 @@ def test_near_copies_of_lines(spark):
     assert [max(n, 0) if n is not None else 0 for n in sizes] == [len(tuples(t or "")) for t in texts]
 
 
+def test_copy_groups_are_exact(spark, monkeypatch):
+    """Copies without a line in common, and copies that no drawn partner finds: groups as from all pairs."""
+    monkeypatch.setattr(lines, "COPY_PARTNERS", 1)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    shared = [" ".join(word() for _ in range(8)) for _ in range(3)]
+    texts = []
+    for size in (1, 2, 5, 12):
+        original = [[word() for _ in range(20)] for _ in range(6)]
+        for i in range(size):
+            mine = [list(x) for x in original]
+            for j in rng.sample(range(6), rng.randrange(0, 4)) if size != 2 else range(3 * i):
+                mine[j][rng.randrange(20)] = word()
+            texts.append("\n".join([*(" ".join(x) for x in mine), *shared]))
+    # every line altered
+    long = [[word() for _ in range(80)] for _ in range(3)]
+    texts += ["\n".join(" ".join(x) for x in long), "\n".join(" ".join([*x[:40], "z", *x[41:]]) for x in long)]
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "__key long, __key2 int, text string").cache()
+    own = rows.select("__key", "__key2", F.explode(F.split("text", "\n")).alias("line")).select("__key", "__key2", F.xxhash64("line").alias("h")).cache()
+    got = {}
+    for r in lines.copy_groups(rows, own, lines.BROADCAST_BYTES).collect():
+        got.setdefault(r["group"], set()).add(r["__key"])
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    reach = lambda a, b, share: len(sets[a] & sets[b]) * 100 >= share * len(sets[a] | sets[b])
+    every = range(len(texts))
+    linked = [a for a in every if any(a != b and reach(a, b, 80) for b in every)]
+    of = {a: a for a in linked}
+    for _ in linked:
+        for a in linked:
+            of[a] = min(of[b] for b in linked if reach(a, b, 60))
+    expected = {}
+    for a, g in of.items():
+        expected.setdefault(g, set()).add(a)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values())) and len(expected) >= 3
+
+
 def same_as_sql(df, sql, table, tmp_path, name):
     """Whether a query's rows are those of its SQL over ``table``, a list of (name, DataFrame)."""
     import duckdb
