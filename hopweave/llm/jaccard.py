@@ -11,11 +11,14 @@ node. The metric-space join then runs from coarse regions to fine ones:
    have differences, plus one, and again in the next class of sizes if a larger partner may be there.
 2. *Pivots.* In each region the text that shares most regions with others is the first pivot. Members within eps of
    it link. A region whose other members then all lie in one component is done.
-3. *Voronoi regions.* A region of more than ``REGION_TEXTS`` texts is split around ``PIVOTS`` of its texts: every
-   member's exact distance to each pivot is computed (members times pivots, no more), it belongs to the region of its
-   nearest pivot, and is replicated to those of all pivots at most 2 eps farther. By the triangle inequality two linked
-   texts meet in the region of either's nearest pivot. Members within eps of a pivot link; regions of one component
-   are done; those above the bound are split again with other pivots (recursion). Where that leaves a region with over
+3. *Voronoi regions.* Near copies of one text meet in nearly equal regions, one for each part of the range. Of those
+   with more than ``REGION_TEXTS`` texts, the ones whose text of the lowest hash is the same become one first (their
+   union: whoever met still meets). A region above the bound is split around ``PIVOTS`` of its texts, those of the
+   lowest hash, so that regions with texts in common share pivots and a distance is computed once: every member's
+   exact distance to each pivot is computed (members times pivots, no more), it belongs to the region of its nearest
+   pivot, and is replicated to those of all pivots at most 2 eps farther. By the triangle inequality two linked texts
+   meet in the region of either's nearest pivot. Members within eps of a pivot link; regions of one component are
+   done; those above the bound are split again with other pivots (recursion). Where that leaves a region with over
    three quarters of the texts it came from, its texts are too close to be told apart by pivots; they are dealt out in
    blocks, and each two blocks meet in one task.
 4. *Exact join.* Members of different components are compared by parity sketches: bit j tells whether an odd number
@@ -56,6 +59,8 @@ from .graphs import components
 REGION_TEXTS = 256
 #: Pivots, about, that a larger region is split around.
 PIVOTS = 6
+#: The hashes by which large regions that overlap are found, one after the other.
+UNITED = (101, 102)
 #: Of each two components in a region, so many pairs are measured first.
 FIRST_PAIRS = 4
 #: Words whose hash a task keeps; the store is emptied when full.
@@ -296,13 +301,27 @@ def opened(members: DataFrame, label: DataFrame) -> DataFrame:
     return staged(named.join(small(staged(live, "live")), "region", "left_semi"), "open")
 
 
+def united(open_: DataFrame, region_texts: int) -> DataFrame:
+    """Regions (region, node, label; staged) of which those above ``region_texts`` that have the same first text by
+    hash are one. That happens to two regions as often as they have texts in common (minhash), so their union is hardly
+    larger than either, and whatever met in one of them meets in it."""
+    for turn in UNITED:
+        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"]
+        sized = staged(open_.groupBy("region").agg(F.count(F.lit(1)).alias("size"), first.alias("first")).filter(F.col("size") > region_texts), "overlaps")
+        if sized.groupBy("first").count().filter("count > 1").isEmpty():
+            break
+        known = open_.join(small(sized.select("region", F.xxhash64("first", F.lit(turn)).alias("as"))), "region", "left")
+        open_ = staged(known.select(F.coalesce("as", "region").alias("region"), "node", "label").distinct(), "united")
+    return open_
+
+
 def voronoi(regions: DataFrame, sets: DataFrame, num: int, den: int, pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """Split ``regions`` (region, node, size; staged): the cells (region, cell, node, size) and the links (a, b) that
     the distances show. Linked members of a region share the cell of either's nearest pivot."""
-    draw = F.xxhash64("region", "node", F.lit(turn))
-    drawn = regions.select("region", "node", draw.alias("draw"), "size")
+    # the same for all regions, so those that overlap have pivots in common
+    drawn = regions.select("region", "node", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 31)).alias("draw"), "size")
     one = drawn.groupBy("region").agg(F.min(F.struct("draw", "node"))["node"].alias("pivot"))  # never none
-    more = drawn.filter(F.pmod("draw", F.greatest(F.lit(1), F.floor(F.col("size") / pivots))) == 0).select("region", F.col("node").alias("pivot"))
+    more = drawn.filter(F.col("draw") * F.col("size") < pivots << 31).select("region", F.col("node").alias("pivot"))
     chosen = staged(one.unionByName(more).distinct(), "pivots")
     star = staged(regions.select("region", "node", "size").join(small(chosen), "region"), "star")
     other = staged(star.filter("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "distances")
@@ -321,6 +340,7 @@ def split_regions(open_: DataFrame, label: DataFrame, sets: DataFrame, num: int,
     """Regions (region, node, label) that fit one task, regions that pivots cannot split, and the labels with what was
     linked on the way. ``open_`` has (region, node, label); a region above ``region_texts`` is split until it fits."""
     whole, dense, turn = [], [], 0
+    open_ = united(open_, region_texts)
     while True:
         sized = staged(open_.groupBy("region").agg(F.count(F.lit(1)).alias("size")), "sizes")
         known = open_.join(small(sized), "region")

@@ -34,6 +34,8 @@ COPY_SHARE, COPY_REACH, COPY_WORDS = (80, 100), (60, 100), 5
 #: The rarest lines of a text that seek partners first, and the partners of each. A copy that links with a share p of its
 #: group is left to the exact search with a chance of (1 - p) ** COPY_PARTNERS.
 COPY_LINES, COPY_PARTNERS = 4, 32
+#: Numbers of 64 bits in a text's parity sketch.
+COPY_SKETCH = 8
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -76,8 +78,10 @@ def shingle_sets(text: Column, k: int) -> Column:
 
 
 def _prefixes(sets: DataFrame, most: int) -> DataFrame:
-    """(__key, m, h, tight), staged: the rarest shingles of each set, as many that two sets whose similarity reaches
-    ``COPY_REACH`` share one of them, and two that reach ``COPY_SHARE`` one that is ``tight`` in both.
+    """(__key, m, h, at, tight, alone, p0, ...), staged: the rarest shingles of each set, as many that two sets whose
+    similarity reaches ``COPY_REACH`` share one of them, and two that reach ``COPY_SHARE`` one that is ``tight`` in
+    both; ``at`` is a shingle's place in the order, ``alone`` tells how many shingles no other text has, and the bits
+    of ``p0`` and so on whether an odd number of the others falls on each.
 
     A set of m that has a share s of its shingles in common with another has all but m - ceil(s m) of them; so of the
     first m - ceil(s m) + 1 in any order that is the same for all sets, the two share one. Shingles of one text alone
@@ -86,10 +90,14 @@ def _prefixes(sets: DataFrame, most: int) -> DataFrame:
     each = sets.select("__key", F.size("set").alias("m"), F.explode("set").alias("h"))
     shared = staged(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies-shared")
     # no longer than the text's shingles
-    order = each.join(small(shared, most), "h").groupBy("__key", "m").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("order"))
-    upto = lambda share: F.greatest(F.col("m") - F.floor((F.col("m") * share[0] + share[1] - 1) / share[1]) + 1 - (F.col("m") - F.size("order")), F.lit(0)).cast("int")
-    picked = order.select("__key", "m", upto(COPY_SHARE).alias("tight"), F.slice("order", F.lit(1), upto(COPY_REACH))["h"].alias("of"))
-    return staged(picked.select("__key", "m", "tight", F.posexplode("of").alias("at", "h")).select("__key", "m", "h", (F.col("at") < F.col("tight")).alias("tight")), "copies-prefixes")
+    odd = [F.expr(f"bit_xor(if(shiftright(h, 6) & {COPY_SKETCH - 1} = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"p{i}") for i in range(COPY_SKETCH)]
+    order = each.join(small(shared, most), "h").groupBy("__key", "m").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("order"), *odd)
+    sketch = [f"p{i}" for i in range(COPY_SKETCH)]
+    alone = F.col("m") - F.size("order")
+    upto = lambda share: F.greatest(F.col("m") - F.floor((F.col("m") * share[0] + share[1] - 1) / share[1]) + 1 - alone, F.lit(0)).cast("int")
+    picked = order.select("__key", "m", alone.alias("alone"), *sketch, upto(COPY_SHARE).alias("tight"), F.slice("order", F.lit(1), upto(COPY_REACH))["h"].alias("of"))
+    each = picked.select("__key", "m", "alone", "tight", *sketch, F.posexplode("of").alias("i", "h"))
+    return staged(each.select("__key", "m", "h", (F.col("alone") + F.col("i")).alias("at"), (F.col("i") < F.col("tight")).alias("tight"), "alone", *sketch), "copies-prefixes")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
@@ -105,10 +113,18 @@ def _near(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
 
 
 def _meeting(left: DataFrame, right: DataFrame, share: tuple[int, int], more: str = "true") -> DataFrame:
-    """(a, b), staged: texts of ``left`` and ``right`` (__key, m, h and others) that share a shingle and whose sizes let
-    them reach ``share``; ``more`` is a condition on l and r."""
+    """(a, b), staged: texts of ``left`` and ``right`` (rows of :func:`_prefixes`, and more) that share a shingle and
+    may reach ``share``; ``more`` is a condition on l and r.
+
+    Two bounds rule out nearly every other pair, so that rows do not grow with the pairs of a group. What two sets have
+    in common lies at their first common shingle's place or after it, in both orders: texts that part in too many rarer
+    shingles do not meet by what a whole group shares, and neither do texts too unlike in size. And two sets differ in
+    the shingles that either has alone and in no fewer others than their sketches in bits.
+    """
     num, den = share
-    met = left.alias("l").join(right.alias("r"), F.expr("l.h = r.h")).filter(f"l.__key <> r.__key and l.m * {den} >= r.m * {num} and r.m * {den} >= l.m * {num} and {more}")
+    first = f"least(l.m - l.at, r.m - r.at) * {num + den} >= (l.m + r.m) * {num}"
+    apart = " + ".join(["l.alone", "r.alone", *(f"bit_count(l.p{i} ^ r.p{i})" for i in range(COPY_SKETCH))])
+    met = left.alias("l").join(right.alias("r"), F.expr(f"l.h = r.h and l.__key <> r.__key and {first} and ({apart}) * {num + den} <= (l.m + r.m) * {den - num} and {more}"))
     return staged(met.select(F.least("l.__key", "r.__key").alias("a"), F.greatest("l.__key", "r.__key").alias("b")).distinct(), "copies-pairs")
 
 

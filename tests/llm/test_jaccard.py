@@ -58,6 +58,31 @@ def test_one_group_of_near_copies_in_many_small_regions(spark):
     assert components_of(jaccard.clusters(df, 3, 90, 100, region_texts=6)) == brute_force(rows, 3, 90, 100)
 
 
+def test_near_copies_meet_few_pivots(spark, monkeypatch):
+    """The many regions of one group of near copies become few, so distances do not grow with the regions."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            w[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    distances = []
+    staged = jaccard.staged
+
+    def watched(df, label):
+        out = staged(df, label)
+        if label == "distances" and out.columns == ["a", "b"]:
+            distances.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert components_of(jaccard.clusters(df, 5, 80, 100, region_texts=32)) == brute_force(rows, 5, 80, 100)
+    assert distances and distances[0] <= 5 * jaccard.PIVOTS * len(rows)
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     for num in (80, 90):

@@ -286,6 +286,29 @@ def test_copy_groups_are_exact(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values())) and len(expected) >= 3
 
 
+def test_copies_apart_meet_few(spark, monkeypatch):
+    """Texts of one original, few of them copies of another: the pairs that meet do not grow with all pairs."""
+    monkeypatch.setattr(lines, "COPY_PARTNERS", 1)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    original, texts = [word() for _ in range(120)], []
+    for _ in range(150):
+        mine = list(original)
+        for _ in range(rng.randint(2, 3)):
+            mine[rng.randrange(120)] = word()
+        texts.append(" ".join(mine))
+    met = []
+    meeting = lines._meeting
+    monkeypatch.setattr(lines, "_meeting", lambda *a: met.append(meeting(*a)) or met[-1])
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "__key long, __key2 int, text string").cache()
+    own = rows.select("__key", "__key2", F.xxhash64("text").alias("h")).cache()
+    got = {r["__key"] for r in lines.copy_groups(rows, own, lines.BROADCAST_BYTES).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    linked = [(a, b) for a in range(150) for b in range(a) if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])]
+    assert got == {x for pair in linked for x in pair} and linked
+    assert sum(m.count() for m in met) < len(linked) + 4 * len(texts)
+
+
 def same_as_sql(df, sql, table, tmp_path, name):
     """Whether a query's rows are those of its SQL over ``table``, a list of (name, DataFrame)."""
     import duckdb
